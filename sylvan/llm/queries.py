@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing
+from . import chat, gif, jaccard_join, langid, mixing, warc
 from .storage import table
 
 _JACCARD_SQL = r"""
@@ -28,14 +28,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read_back(table(spark, sf_dir, "pages"), least=0)
+
+
+def op4_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_and_read_back(table(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_and_read_back(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op7_pareto_mixing]
+    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op6_gif_media, op7_pareto_mixing, op10_prefix_target_chat]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _JACCARD_SQL, "op7_pareto_mixing": mixing.ORACLE}
+    return {"op1_ngram_jaccard_join": _JACCARD_SQL, "op2_warc_salvage": warc.ORACLE, "op7_pareto_mixing": mixing.ORACLE, "op10_prefix_target_chat": chat.ORACLE}
