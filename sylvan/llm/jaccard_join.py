@@ -12,8 +12,10 @@ result is each document's component.  Steps:
     their prefixes.  A document sends only the blocks its prefix needs.
 3.  In each bucket of a prefix shingle the node with the fewest shingles of its
     own is paired with the others (linear in the bucket); linked nodes contract
-    to components.  Further rounds pair what still differs; at last every pair
-    of a bucket whose components differ is compared, so no link is lost.
+    to components.  Further rounds pair what still differs.  What then still
+    shares buckets across components is compared in square blocks of nodes, in
+    memory, each block giving at most a spanning forest of its links: no link
+    between components is lost and no list of pairs is ever written.
 4.  Before a pair is verified it must also share prefix shingles under the
     other orders (independent hash orders); then the exact overlap decides.
 
@@ -43,8 +45,10 @@ BLOCKS = (0.3, 0.6)
 SMALL = 32
 #: Seeds of the further orders under which a pair must share prefix shingles.
 ORDERS = (11, 23)
-#: Rounds of one-against-bucket pairs before the remaining pairs are enumerated.
-ROUNDS = 4
+#: Rounds of one-against-bucket pairs before the rest is compared in blocks.
+ROUNDS = 3
+#: Nodes and shingles of one side of a block, about.
+SIDE, SIDE_SHINGLES = 512, 500_000
 
 _CUT = [int(b * 2**48) for b in BLOCKS]
 
@@ -193,43 +197,130 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _counts(rows: np.ndarray, cols: np.ndarray, half: int, n: int, width: int) -> np.ndarray:
+    """For rows < half against rows >= half: how many columns both have."""
+    out = np.zeros((half, n - half), np.float32)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for at in range(0, width, 4096):
+        i, j = np.searchsorted(cols, (at, at + 4096))
+        m = np.zeros((n, min(4096, width - at)), np.float32)
+        m[rows[i:j], cols[i:j] - at] = 1
+        out += m[:half] @ m[half:].T
+    return out
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of a left and a right set that are similar: prefix filters under every further order, then the overlap."""
+    sets, half = left + right, len(left)
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    may = (den * np.minimum.outer(size[:half], size[half:]) >= num * np.maximum.outer(size[:half], size[half:])).astype(bool)
+    p = prefix_length(size, num, den)
+    start = np.concatenate(([0], np.cumsum(size)))[:-1]
+    for seed in ORDERS:
+        if not may.any():
+            break
+        by = np.lexsort((mix(flat, seed), row))
+        first = by[np.arange(len(flat)) - start[row] < p[row]]
+        first = first[shared[col[first]]]
+        may &= _counts(row[first], place[col[first]], half, len(sets), int(shared.sum())) > 0
+    if not may.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept = np.concatenate((may.any(1), may.any(0)))[row] & shared[col]
+    both = _counts(row[kept], place[col[kept]], half, len(sets), int(shared.sum()))
+    return np.nonzero(may & (den * both >= num * (np.add.outer(size[:half], size[half:]) - both)))
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (u, v), enough to connect what they connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+            out.append((x, y))
+    return out
+
+
+def _rest(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links between the components that still meet in a bucket.
+
+    Nodes that meet in buckets, directly or through others, form a family; a
+    family is cut into sides of bounded size, and each pair of sides is one
+    group, which holds two sides' sets and nothing else.
+    """
+    by_tok = Window.partitionBy("tok")
+    meets = materialise(now.select("node", F.min("node").over(by_tok).alias("low"), "comp", "n"), "meets")
+    fam = components(meets.select(F.col("node").alias("u"), F.col("low").alias("v"))).select("node", F.col("comp").alias("family"))
+    members = meets.select("node", "comp", "n").distinct().join(fam, "node")
+    sides = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(SIDE))), F.ceil(F.sum("n") / F.lit(float(SIDE_SHINGLES)))).cast("int").alias("sides"))
+    placed = members.join(sides, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")).join(sets, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    dealt = placed.select("family", "node", "comp", "shingles", "side", other.alias("other")).select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("side", "ascending"), ("node", "ascending")])
+        side, node, comp = (table[c].to_numpy() for c in ("side", "node", "comp"))
+        found = [np.frombuffer(x.as_buffer(), U) for c in table["shingles"].chunks for x in c]
+        lo, hi = table["i"][0].as_py(), table["j"][0].as_py()
+        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        if not len(a) or not len(b):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        x, y = block_links([found[k] for k in a], [found[k] for k in b], num, den)
+        x, y = a[x], b[y]
+        cross = comp[x] != comp[y]
+        own = _forest(node[x[cross]], node[y[cross]])
+        return pa.table({"u": pa.array([p for p, _ in own], pa.int64()), "v": pa.array([q for _, q in own], pa.int64())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, comp) of the nodes that link with another; empty if none does."""
     spark = docs.sparkSession
     prefixes = materialise(_prefixes(rows, num, den), "prefixes")
     collect_garbage(spark)
     by_tok = Window.partitionBy("tok")
-    postings = prefixes.withColumn("m", F.count("*").over(by_tok)).where("m > 1").drop("m")
+    postings = materialise(prefixes.withColumn("m", F.count("*").over(by_tok)).where("m > 1").drop("m"), "postings")
+    drop(prefixes)
     sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
     collect_garbage(spark)
     done = edges = comps = None
+    fits = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
     for step in range(ROUNDS + 1):
         now = postings.withColumn("comp", F.col("node")) if comps is None else postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = now.withColumn("lo", F.min("comp").over(by_tok)).withColumn("hi", F.max("comp").over(by_tok)).where("lo <> hi").drop("lo", "hi")
-        fits = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
+        now = materialise(now, "meeting")
+        if not now.take(1):
+            break
         if step < ROUNDS:
             key = F.struct("own", "node", "comp", "n") if not step else F.struct(F.xxhash64("comp", F.lit(step)).alias("own"), "node", "comp", "n")
             pairs = now.withColumn("lead", F.min(key).over(by_tok)).select("node", "comp", "n", F.col("lead.node").alias("node2"), F.col("lead.comp").alias("comp2"), F.col("lead.n").alias("n2"))
+            pairs = pairs.where(f"comp <> comp2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+            pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+            done = pairs if done is None else done.unionByName(pairs)
+            found = materialise(_verify(pairs, sets, num, den), "found")
         else:
-            other = now.select("tok", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            pairs = now.join(other, "tok").where("comp < comp2")
-        pairs = pairs.where(f"comp <> comp2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if not pairs.take(1):
-            if step < ROUNDS:
-                # Every bucket's one-against-all pairs are known; go on to the enumeration only if buckets still mix components.
-                if not now.take(1):
-                    break
-                continue
-            break
-        found = materialise(_verify(pairs, sets, num, den), "found")
-        done = pairs if done is None else done.unionByName(pairs)
+            found = materialise(_rest(now, sets, num, den), "found")
+        drop(now)
         edges = found if edges is None else edges.unionByName(found)
         comps = materialise(components(edges), "comps")
         collect_garbage(spark)
     drop(sets)
+    drop(postings)
     return comps if comps is not None else spark.createDataFrame([], "node long, comp long")
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Length of a profile.
 PROFILE = 400
@@ -153,10 +154,11 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lengt
     return Model(langs, keys, ranks, length)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score; columns of these names are replaced."""
+    docs = docs.drop(*out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = T.StructType(list(docs.schema.fields)).add(out[0], "string").add(out[1], "double")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,5 +188,6 @@ MIN_SCORE = 0.02
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` that have a language: those without a letter, or unlike every profile, go."""
-    said = identify(docs.withColumn("lang_text", F.col("text")), learn(docs), "lang_text")
-    return said.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    out = ("_said", "_score")
+    said = identify(docs, learn(docs), "text", out)
+    return said.where((F.col(out[0]) != "und") & (F.col(out[1]) >= min_score)).select(*docs.columns)

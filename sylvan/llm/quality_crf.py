@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .langid import id_remainder
 from .text import CHUNK, U, chunks, mix, string_buffers, words
@@ -245,9 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with a score from 0 to 1."""
+    """``docs`` with a score from 0 to 1; a column of that name is replaced."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType(list(docs.schema.fields)).add("score", "double")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, jaccard_join, langid, mixing, warc
+from . import chat, gif, jaccard_join, langid, mixing, quality_crf, warc
 from .storage import table
 
 _JACCARD_SQL = r"""
@@ -44,12 +44,16 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op6_gif_media, op7_pareto_mixing, op10_prefix_target_chat]
+    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op6_gif_media, op7_pareto_mixing, op8_line_crf_quality, op10_prefix_target_chat]
     return {f.__name__: f for f in own}
 
 

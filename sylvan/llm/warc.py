@@ -115,7 +115,10 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise _Bad("malformed header")
-        heads[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in heads and key != "warc-concurrent-to":
+            raise _Bad("repeated header")
+        heads[key] = value.strip().decode("utf-8", "replace")
     length = heads.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise _Bad("no content length")
@@ -156,15 +159,14 @@ def _plain(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         try:
             fields, end = _record(data, at)
         except _Bad as why:
-            end = data.find(b"\n" + VERSION, at)
-            end = len(data) if end < 0 else end + 1
-            while end < len(data):  # only a record that holds ends the gap
+            end = data.find(VERSION, at + 1)
+            while end >= 0:  # only a record that holds ends the gap
                 try:
                     _record(data, end)
                     break
                 except _Bad:
-                    end = data.find(b"\n" + VERSION, end)
-                    end = len(data) if end < 0 else end + 1
+                    end = data.find(VERSION, end + 1)
+            end = len(data) if end < 0 else end
             yield "gap", at, end - at, str(why)
         else:
             yield "record", at, end - at, fields

@@ -91,3 +91,11 @@ def test_empty_and_repeated_rows(spark):
     check(spark, [], 4, 85, 100)
     rows = [(7, "a b c d e"), (7, "a b c d e"), (9, "A b c d e"), (4, "z")]
     check(spark, rows, 4, 85, 100)
+
+
+def test_blocks_alone_find_every_link(spark, monkeypatch):
+    from sylvan.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "SIDE", 16)
+    check(spark, corpus(4), 4, 85, 100)

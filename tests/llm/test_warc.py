@@ -96,7 +96,7 @@ def test_lost_bytes_and_junk():
     plain = b"junk\r\n" + parts[0] + parts[1][:100] + parts[2] + parts[3] + b"tail"
     got, gaps = read(plain)
     assert got == ids(0, 2, 3)
-    assert gaps == [(0, 6), (6 + len(parts[0]), 100), (len(plain) - 4, 4)] or sum(n for _, n in gaps) == 110
+    assert gaps == [(0, 6), (6 + len(parts[0]), 100), (len(plain) - 4, 4)]
 
 
 def test_damaged_members():
