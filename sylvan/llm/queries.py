@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, jaccard_join, langid, mixing, quality_crf, warc
+from . import chat, gif, jaccard_join, langid, lm, mixing, quality_crf, warc
 from .storage import table
 
 _JACCARD_SQL = r"""
@@ -36,6 +36,10 @@ def op4_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op6_gif_media, op7_pareto_mixing, op8_line_crf_quality, op10_prefix_target_chat]
+    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op5_elias_fano_lm, op6_gif_media, op7_pareto_mixing, op8_line_crf_quality, op10_prefix_target_chat]
     return {f.__name__: f for f in own}
 
 
