@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import collect_garbage, drop, materialise
+from .storage import arrow_rows, collect_garbage, drop, materialise
 from .text import U, mix, shingles, word_batches
 
 #: Ends of the first order's hash blocks as parts of the hash range.
@@ -47,8 +47,10 @@ SMALL = 32
 ORDERS = (11, 23)
 #: Rounds of one-against-bucket pairs before the rest is compared in blocks.
 ROUNDS = 3
+#: Rows of a batch that goes to Python: of texts, and of pairs of sets.
+TEXT_ROWS, PAIR_ROWS = 2000, 250
 #: Nodes and shingles of one side of a block, about.
-SIDE, SIDE_SHINGLES = 512, 500_000
+SIDE, SIDE_SHINGLES = 512, 200_000
 
 _CUT = [int(b * 2**48) for b in BLOCKS]
 
@@ -296,7 +298,8 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
     by_tok = Window.partitionBy("tok")
     postings = materialise(prefixes.withColumn("m", F.count("*").over(by_tok)).where("m > 1").drop("m"), "postings")
     drop(prefixes)
-    sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
+    with arrow_rows(spark, TEXT_ROWS):
+        sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
     collect_garbage(spark)
     done = edges = comps = None
     fits = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
@@ -312,7 +315,8 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
             pairs = pairs.where(f"comp <> comp2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
             pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
             done = pairs if done is None else done.unionByName(pairs)
-            found = materialise(_verify(pairs, sets, num, den), "found")
+            with arrow_rows(spark, PAIR_ROWS):
+                found = materialise(_verify(pairs, sets, num, den), "found")
         else:
             found = materialise(_rest(now, sets, num, den), "found")
         drop(now)
@@ -327,7 +331,8 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for each row; see the module's text."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(source.mapInArrow(_sketch(n, num, den), "id long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        rows = materialise(source.mapInArrow(_sketch(n, num, den), "id long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
     comps = _links(source.select("text"), rows, n, num, den)
     lows = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     merged = lows.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")

@@ -8,6 +8,7 @@ written.  Only a session without that setting (a test) gets a local folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,18 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """At most ``n`` rows in each batch that goes to Python, for the jobs run within; for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by materialise() that nothing will read again."""
     path = getattr(df, "_sylvan_path", None)
