@@ -338,3 +338,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     merged = lows.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")
     named = merged.join(merged.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
     return rows.select("id", "node", "n_shingles").join(named, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest id (the first text in order, if ids repeat).
+
+    Rows without a word stay, and so does one row of a component of null ids.
+    Only rows that copies could share an id with are compared as whole rows.
+    """
+    found = materialise(near_duplicates(docs, n, num, den, id_col, text_col), "found")
+    gone = found.where(f"n_shingles > 0 and {id_col} > component_id").select(F.col(id_col).alias("_gone")).distinct()
+    rows = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    # What is left with the same id as another row of its component is that component's own id, repeated.
+    again = found.where(f"n_shingles > 0 and {id_col} <=> component_id").groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_again"))
+    twice = rows.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
+    once = rows.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col), *[F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)])
+    kept = twice.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    return once.unionByName(kept)

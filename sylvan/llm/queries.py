@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, jaccard_join, langid, lm, mixing, quality_crf, warc
+from . import chat, decontam, gif, jaccard_join, langid, lm, mixing, pii, quality_crf, warc
 from .storage import table
 
 _JACCARD_SQL = r"""
@@ -32,6 +32,10 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read_back(table(spark, sf_dir, "pages"), least=0)
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
 def op4_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -52,12 +56,16 @@ def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_warc_salvage, op4_rank_order_langid, op5_elias_fano_lm, op6_gif_media, op7_pareto_mixing, op8_line_crf_quality, op10_prefix_target_chat]
+    own = [op1_ngram_jaccard_join, op2_warc_salvage, op3_pii_surrogates, op4_rank_order_langid, op5_elias_fano_lm, op6_gif_media, op7_pareto_mixing, op8_line_crf_quality, op9_latent_decontamination, op10_prefix_target_chat]
     return {f.__name__: f for f in own}
 
 
