@@ -75,7 +75,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sketch(n: int, num: int, den: int):
-    """Batches of (id, text) to (id, node, n_shingles, e0, e1, toks)."""
+    """Batches of (id, text, h) to (id, h, node, n_shingles, e0, e1, toks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes whose shingles this task has sent
@@ -101,8 +101,8 @@ def _sketch(n: int, num: int, den: int):
                     e1.append(c - a)
                     toks.append(t[:sent])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, len(counts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(e0, pa.int64()), pa.array(e1, pa.int64()), pa.array(toks, pa.list_(pa.int64()))],
-                    ["id", "node", "n_shingles", "e0", "e1", "toks"],
+                    [b.column(0).slice(i, len(counts)), b.column(2).slice(i, len(counts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(e0, pa.int64()), pa.array(e1, pa.int64()), pa.array(toks, pa.list_(pa.int64()))],
+                    ["id", "h", "node", "n_shingles", "e0", "e1", "toks"],
                 )
 
     return run
@@ -328,31 +328,39 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
     return comps if comps is not None else spark.createDataFrame([], "node long, comp long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row; see the module's text."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n_shingles, class, component_id) for each row; h is a hash of the text, class null for an empty set."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        rows = materialise(source.mapInArrow(_sketch(n, num, den), "id long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
+        rows = materialise(source.mapInArrow(_sketch(n, num, den), "id long, h long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
     comps = _links(source.select("text"), rows, n, num, den)
     lows = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
-    merged = lows.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")
-    named = merged.join(merged.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
-    return rows.select("id", "node", "n_shingles").join(named, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    merged = lows.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("class"), "low")
+    named = merged.join(merged.groupBy("class").agg(F.min("low").alias("component_id")), "class").select("node", "class", "component_id")
+    return rows.select("id", "h", "node", "n_shingles").join(named, "node", "left").drop("node")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row; see the module's text."""
+    return classes(docs, n, num, den, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest id (the first text in order, if ids repeat).
+    """``docs`` with one row of each component: that with the smallest id (null last).
 
-    Rows without a word stay, and so does one row of a component of null ids.
-    Only rows that copies could share an id with are compared as whole rows.
+    Of rows that share this id the text with the smallest hash stays, of equal
+    rows one.  Rows without a word all stay.
     """
-    found = materialise(near_duplicates(docs, n, num, den, id_col, text_col), "found")
-    gone = found.where(f"n_shingles > 0 and {id_col} > component_id").select(F.col(id_col).alias("_gone")).distinct()
-    rows = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    # What is left with the same id as another row of its component is that component's own id, repeated.
-    again = found.where(f"n_shingles > 0 and {id_col} <=> component_id").groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_again"))
-    twice = rows.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
-    once = rows.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col), *[F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)])
-    kept = twice.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    return once.unionByName(kept)
+    found = materialise(classes(docs, n, num, den, id_col, text_col).where("class is not null").select("id", "h", "class"), "classes")
+    mark = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    keepers = found.groupBy("class").agg(F.min(mark).alias("k"), F.count("*").alias("n")).where("n > 1").select("class", "k")
+    judged = found.join(keepers, "class").select("id", "h", (mark == F.col("k")).alias("stays"))
+    gone = judged.where("not stays").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    twice = judged.where("stays").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    marks = materialise(gone.withColumn("_gone", F.lit(True)).unionByName(twice.withColumn("_gone", F.lit(False))), "marks")
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
+    rows = docs.join(marks, here, "left").where("_gone is null or not _gone")
+    first = Window.partitionBy("_id", "_h").orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    kept = rows.where("_gone is not null").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    return rows.where("_gone is null").select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -99,3 +99,14 @@ def test_blocks_alone_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
     monkeypatch.setattr(jaccard_join, "SIDE", 16)
     check(spark, corpus(4), 4, 85, 100)
+
+
+def test_one_of_each(spark):
+    from sylvan.llm.jaccard_join import one_of_each
+
+    rows = [(3, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (2, "other words in this one here"), (None, "a b c d e f"), (None, "null id of its own text"), (None, "null id of its own text"), (7, None), (8, ""), (7, None), (9, "z")]
+    df = spark.createDataFrame([(d, t, "l", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n long")
+    got = sorted((tuple(r)[:2] for r in one_of_each(df).collect()), key=str)
+    want = [(2, "A b c d e f"), (2, "other words in this one here"), (None, "null id of its own text"), (7, None), (8, ""), (7, None), (9, "z")]
+    assert got == sorted(want, key=str)
+    assert one_of_each(df).columns == df.columns and one_of_each(df.limit(0)).collect() == []
