@@ -42,16 +42,18 @@ from pyspark.sql import functions as F
 
 from .elias_fano import Trie
 from .langid import id_remainder
-from .storage import collect_garbage, materialise, new_path
+from .storage import arrow_rows, collect_garbage, materialise, new_path
 from .text import U, mix, word_batches
 
 #: Tokens in a block, about; records (distinct n-grams of a block) in a shard, about.
-BLOCK, SHARD = 1_500_000, 1_500_000
+BLOCK, SHARD = 500_000, 500_000
+#: Rows of text in a batch that goes to Python.
+TEXT_ROWS = 2000
 #: Occurrences beyond which a context's successors are dealt over several shards.
 HOT = 200_000
 #: Weight of the order below.
 MU = 30.0
-ORDER = 3
+ORDER = 2
 STEP = 2048.0
 
 _END, _BOS = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
@@ -140,49 +142,73 @@ def _value(code: np.ndarray) -> np.ndarray:
 
 
 class Replay:
-    """One block's tokens, their n-grams of each order, and what the shards have answered."""
+    """One block's tokens, their n-grams of each order, and what the shards have answered.
+
+    Words are places in the block's vocabulary in order of their hashes, so
+    n-grams sorted by places are sorted by contexts and words as shards know them.
+    """
 
     def __init__(self, row: dict, stats: dict) -> None:
         self.ids, self.held, self.stats = row["ids"], np.array(row["held"], bool), stats
         self.sizes = np.array(row["sizes"], np.int64)
-        self.w = unpack(row["words"])[unpack(row["tokens"])]
-        self.start = np.zeros(len(self.w), bool)
-        self.start[np.cumsum(self.sizes)[:-1]] = True
-        self.start[0] = True
+        words, tokens = unpack(row["words"]), unpack(row["tokens"])
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words, self.w = words[order], rank[tokens].astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.train = ~np.repeat(self.held, self.sizes)
         self.order = 0
-        self.count = np.zeros(len(self.w), np.int64)
-        self.logp = np.zeros(len(self.w))
-        self.before = np.full(len(self.w), _BOS)  # the word k places back
-        self.ctx = np.zeros(len(self.w), U)
+        self.hash = np.zeros(1, U)  # of each context
+        self.which = np.zeros(len(self.w), np.int64)  # the context of each token
+
+    def _contexts(self) -> np.ndarray:
+        """Contexts of the next order and how often each occurs in training; called after take()."""
+        shifted = np.empty(len(self.w), np.int32)
+        shifted[1:] = self.at[:-1]
+        shifted[self.first] = len(self.one)  # the text's start
+        self.hash = np.concatenate((self.words if self.order == 1 else mix(self.hash[self.of_ctx] * U(3) + self.words[self.of_word], 20 + self.order), [_BOS]))
+        order = np.argsort(self.hash)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.hash, self.which = self.hash[order], rank[shifted].astype(np.int32)
+        return np.concatenate((self.count, [self.stats["docs"]]))[order]
 
     def grams(self) -> None:
         """Distinct n-grams of the next order, in the order in which they are sent."""
-        self.order += 1
-        k, w, n_shards = self.order, self.w, self.stats["shards"]
-        if k == 1:
-            ctx, of = w >> U(8), np.zeros(len(w), np.int64)
+        v, n_shards = len(self.words), self.stats["shards"]
+        if not self.order:
+            self.order, self.at = 1, self.w
+            self.one, self.of_word, self.of_ctx = np.arange(v), np.arange(v), np.zeros(v, np.int64)
+            ctx, succ, of = self.words >> U(8), (self.words & U(0xFFFFFFFF)).astype(np.uint32), np.zeros(v, np.int64)
+            self.lower = np.zeros(v)
         else:
-            back = np.full(len(w), _BOS) if k == 2 else self.before
-            moved = np.concatenate(([_BOS], w[:-1] if k == 2 else back[:-1]))
-            self.before = np.where(self.start, _BOS, moved)
-            self.ctx = mix(self.ctx * U(3) + self.before, 20 + k)
-            ctx = self.ctx >> U(8)
-            of = np.where(self.start, self.stats["docs"], np.concatenate(([0], self.count[:-1])))
-        succ = (w & U(0xFFFFFFFF)).astype(np.uint32)
-        both = mix(ctx * U(0x9E3779B97F4A7C15) + succ, k)
-        _, one, self.at = np.unique(both, return_index=True, return_inverse=True)
-        train = np.bincount(self.at[self.train], minlength=len(one))
-        ctx, succ, of, lower = ctx[one], succ[one], of[one], _quantise(self.logp[one])
-        parts = (of // HOT + 1).astype(U)
-        shard = (mix(ctx + (succ.astype(U) % parts) * U(0xD6E8FEB86659FD93), 31) % U(n_shards)).astype(np.int64)
-        by = np.lexsort((succ, ctx, shard))
-        self.by, self.of = by, of
-        self.sent = ctx[by], succ[by], train[by], lower[by], of[by]
+            total = self._contexts()
+            self.order += 1
+            key, at = np.unique(self.which.astype(np.int64) * v + self.w, return_inverse=True)
+            self.at = at.astype(np.int32)
+            self.of_ctx, self.of_word = np.divmod(key, v)
+            self.one = key
+            lower = np.empty(len(key))
+            lower[self.at] = self.logp
+            self.lower = lower
+            ctx, succ, of = self.hash[self.of_ctx] >> U(8), (self.words[self.of_word] >> U(32)).astype(np.uint32), total[self.of_ctx]
+        self.of = of
+        train = np.bincount(self.at[self.train], minlength=len(ctx))
+        # Shards are ranges of contexts, so what is sorted stays so; a hot context's words go elsewhere.
+        shard = ((ctx >> U(24)) * U(n_shards) >> U(32)).astype(np.int64)
+        hot = np.flatnonzero(of >= HOT)
+        if len(hot):
+            salt = succ[hot].astype(U) % (of[hot] // HOT + 1).astype(U)
+            shard[hot] = (mix(ctx[hot] + salt * U(0xD6E8FEB86659FD93), 31) % U(n_shards)).astype(np.int64)
+        self.by = np.argsort(shard.astype(np.uint16) if n_shards < 2**16 else shard, kind="stable")
+        by = self.by
+        self.sent = ctx[by], succ[by], train[by], _quantise(self.lower)[by], of[by]
         self.cuts = np.searchsorted(shard[by], np.arange(n_shards + 1))
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
         ctx, succ, train, lower, of = self.sent
+        del self.sent
         for s in range(len(self.cuts) - 1):
             i, j = self.cuts[s], self.cuts[s + 1]
             if i == j:
@@ -202,22 +228,20 @@ class Replay:
             i, j = self.cuts[a["shard"]], self.cuts[a["shard"] + 1]
             got = split(a["data"])
             count[i:j], code[i:j] = got[0], got[1] if self.order > 1 else 0
-        back = np.empty(n, np.int64)
-        back[self.by] = np.arange(n)
-        c, code = count[back], code[back]
+        c = np.empty(n, np.int64)
+        c[self.by] = count
         if self.order == 1:
             n_tokens, vocabulary = self.stats["tokens"], self.stats["vocabulary"]
             logp = np.log10((c + 0.5) / (n_tokens + 0.5 * (vocabulary + 1)))
-            self.base, self.known = logp[self.at], c[self.at] > 0
-            self.logp = self.base
+            self.base, self.known = logp[self.at], (c > 0)[self.at]
         else:
-            below = self.logp + np.log10(MU / (self.of[self.at] + MU))
-            self.logp = np.where(c[self.at] > 0, _value(code[self.at]), below)
-        self.count = c[self.at]
+            value = np.empty(n)
+            value[self.by] = _value(code)
+            logp = np.where(c > 0, value, self.lower + np.log10(MU / (self.of + MU)))
+        self.logp, self.count = logp[self.at], c
 
     def documents(self) -> list[np.ndarray]:
-        first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
-        add = lambda x: np.add.reduceat(x, first)
+        add = lambda x: np.add.reduceat(x, self.first)
         return [self.sizes, add(self.known.astype(np.int64)), add(self.base), add(self.logp)]
 
 
@@ -246,38 +270,37 @@ def _send(stats: dict, order: int):
     return run
 
 
-def build(messages: list[list[np.ndarray]], order: int) -> tuple[Trie, list[tuple[np.ndarray, np.ndarray]], int]:
-    """A shard's trie, the (contexts, words) of each message, and the number of its n-grams."""
-    asked = []
+def build(messages: list[list[np.ndarray]], order: int) -> tuple[Trie, np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """A shard's trie; the distinct (contexts, words) asked for, in order; the place of each message's in them; the number of its n-grams."""
+    contexts, place = np.unique(np.concatenate([np.cumsum(m[0]) for m in messages]), return_inverse=True)
+    keys, at, asked = [], 0, []
     for m in messages:
-        asked.append((np.repeat(np.cumsum(m[0]), m[1].astype(np.int64)), m[2]))
-    ctx, succ = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
-    n = np.concatenate([m[3].astype(np.int64) for m in messages])
-    seen = n > 0
-    by = np.flatnonzero(seen)[np.lexsort((succ[seen], ctx[seen]))]
-    c, s = ctx[by], succ[by]
-    new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])))) if len(by) else by
-    count = np.add.reduceat(n[by], new) if len(by) else n[by]
-    codes = np.zeros(len(new), np.uint16)
-    if order > 1 and len(by):
-        lower = np.concatenate([m[4] for m in messages])[by][new]
-        of = np.concatenate([np.repeat(m[5].astype(np.int64), m[1].astype(np.int64)) for m in messages])[by][new]
-        codes = _quantise(np.log10((count + MU * 10 ** _value(lower)) / (of + MU)))
-    return Trie.build(c[new], s[new], count, codes).mapped(), asked, len(new)
+        own = place[at : at + len(m[0])]
+        at += len(m[0])
+        keys.append(np.repeat(own.astype(U) << U(32), m[1].astype(np.int64)) | m[2])
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    asked = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+    del keys
+    ctx, succ = contexts[(key >> U(32)).astype(np.int64)], (key & U(0xFFFFFFFF)).astype(np.uint32)
+    count = np.bincount(where, np.concatenate([m[3] for m in messages]), minlength=len(key)).astype(np.int64)
+    seen = count > 0
+    codes = np.zeros(int(seen.sum()), np.uint16)
+    if order > 1:
+        lower, of = np.zeros(len(key), np.uint16), np.zeros(len(key), np.int64)
+        lower[where] = np.concatenate([m[4] for m in messages])
+        of[where] = np.concatenate([np.repeat(m[5].astype(np.int64), m[1].astype(np.int64)) for m in messages])
+        codes = _quantise(np.log10((count[seen] + MU * 10 ** _value(lower[seen])) / (of[seen] + MU)))
+    return Trie.build(ctx[seen], succ[seen], count[seen], codes).mapped(), ctx, succ, asked, len(codes)
 
 
 def _answer(order: int):
     def run(table: pa.Table) -> pa.Table:
-        trie, asked, types = build([split(x.as_py()) for x in table["data"]], order)
-        out = []
-        for ctx, succ in asked:
-            at = trie.find(ctx, succ)
-            hit = at >= 0
-            count = np.zeros(len(at), np.int64)
-            count[hit] = trie.counts(at[hit])
-            code = np.zeros(len(at), np.uint16)
-            code[hit] = trie.codes[at[hit]]
-            out.append(join([narrow(count)] if order == 1 else [narrow(count), code]))
+        trie, ctx, succ, asked, types = build([split(x.as_py()) for x in table["data"]], order)
+        at = trie.find(ctx, succ)
+        hit = at >= 0
+        count, code = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint16)
+        count[hit], code[hit] = trie.counts(at[hit]), trie.codes[at[hit]]
+        out = [join([narrow(count[w])] if order == 1 else [narrow(count[w]), code[w]]) for w in asked]
         n = len(out)
         return pa.table({"shard": table["shard"], "block": table["block"], "data": pa.array(out, pa.binary()), "types": pa.array([types] + [0] * (n - 1), pa.int64()), "bytes": pa.array([trie.n_bytes()] + [0] * (n - 1), pa.int64())})
 
@@ -318,7 +341,8 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     buckets = _buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("held").alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = _bucketed(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks", buckets)
+    with arrow_rows(spark, TEXT_ROWS):
+        blocks = _bucketed(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks", buckets)
     seen = F.expr("aggregate(zip_with(sizes, held, (s, h) -> if(h, 0L, cast(s as bigint))), 0L, (a, x) -> a + x)")
     total = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.sum(seen), F.sum(F.expr("size(filter(held, h -> not h))"))).first()
     stats = {"tokens": total[1] or 0, "docs": total[2] or 0, "shards": int((total[0] or 0) // SHARD + 1), "vocabulary": 0}
