@@ -57,11 +57,12 @@ def contains(c: Column, p: Pattern, gap: int) -> Column:
         want = F.array(*[F.lit(i) for i in s])
         return F.filter(places, lambda i: (F.size(c) >= i) & (F.size(F.array_except(want, F.get(c, i - 1))) == 0))
 
+    def after(before: Column):
+        return lambda i: F.exists(before, lambda j: (i > j) & (i - j <= gap) if gap > 0 else i > j)
+
     at = ends(p[0])
     for s in p[1:]:
-        before = at
-        near = (lambda i, b=before: F.exists(b, lambda j: (i > j) & (i - j <= gap))) if gap > 0 else (lambda i, b=before: F.exists(b, lambda j: i > j))
-        at = F.filter(ends(s), near)
+        at = F.filter(ends(s), after(at))
     return F.size(at) > 0
 
 

@@ -11,7 +11,8 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as T
@@ -32,9 +33,25 @@ def distances(series: DataFrame, candidates: DataFrame, pad: bool = False) -> Da
     return pairs.select("cand", "sid", "label", "w", d(F.col("series"), F.col("shapelet")).alias("value"))
 
 
-def score_candidates(series: DataFrame, candidates: DataFrame, least: float = 2.0, use_mdl: bool = False, pad: bool = False) -> DataFrame:
+def population_distances(series: DataFrame, population: list[np.ndarray], pad: bool = True) -> DataFrame:
+    """distances() for a search's population (cand: place in the list), over Arrow batches of series in numpy."""
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for k, p in enumerate(population):
+                v = [T.local_distance(s, p, pad) for s in pdf["series"]]
+                parts.append(pd.DataFrame({"cand": k, "sid": pdf["sid"], "label": pdf["label"], "w": pdf["w"], "value": v}))
+            if parts:
+                yield pd.concat(parts)
+
+    kind = series.schema["sid"].dataType.simpleString()
+    return series.select("sid", "label", "w", "series").mapInPandas(run, f"cand long, sid {kind}, label string, w double, value double")
+
+
+def score_candidates(series: DataFrame, candidates: DataFrame | list[np.ndarray], least: float = 2.0, use_mdl: bool = False, pad: bool = False) -> DataFrame:
     """(cand, threshold, lower, candidates, raw_gain, gain) of each candidate's best threshold."""
-    d = distances(series, candidates, pad)
+    d = population_distances(series, candidates, pad) if isinstance(candidates, list) else distances(series, candidates, pad)
     return best_threshold(d, class_order(series, "label"), least, use_mdl, keys=("cand",), buckets=1)
 
 
@@ -80,14 +97,13 @@ class Found:
     threshold: float | None
 
 
-def evaluate(spark: SparkSession, series: DataFrame, population: list[np.ndarray], least: float, memo: dict[bytes, tuple[float, float | None]]) -> list[Found]:
+def evaluate(series: DataFrame, population: list[np.ndarray], least: float, memo: dict[bytes, tuple[float, float | None]]) -> list[Found]:
     """Gain and compressibility of each; those seen before are not scored again."""
     new = {p.tobytes(): p for p in population if p.tobytes() not in memo}
     keys = list(new)
     for at in range(0, len(keys), MOST):
         part = keys[at : at + MOST]
-        cands = spark.createDataFrame([(i, [float(v) for v in new[k]]) for i, k in enumerate(part)], "cand long, shapelet array<double>")
-        got = {r["cand"]: (r["raw_gain"], r["threshold"]) for r in score_candidates(series, cands, least, pad=True).collect()}
+        got = {r["cand"]: (r["raw_gain"], r["threshold"]) for r in score_candidates(series, [new[k] for k in part], least, pad=True).collect()}
         memo.update({k: got.get(i, (0.0, None)) for i, k in enumerate(part)})
     return [Found(p, memo[p.tobytes()][0], T.compression_ratio(p.tolist()), memo[p.tobytes()][1]) for p in population]
 
@@ -98,7 +114,6 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
     Random stretches of random series, then generations of tournament, crossover,
     mutation and survival; one job a generation.  ``series(sid, label, w, series)``.
     """
-    spark = series.sparkSession
     series = series.where("series is not null and size(series) > 0 and label is not null").persist()
     rng = np.random.default_rng(seed)
     population += population % 2
@@ -111,7 +126,7 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
         b = int(rng.integers(0, len(s)))
         pool.append(s[b : int(rng.integers(b, len(s))) + 1])
     memo: dict[bytes, tuple[float, float | None]] = {}
-    now, done = evaluate(spark, series, pool, least, memo), population
+    now, done = evaluate(series, pool, least, memo), population
 
     def judge(p: list[Found]) -> tuple[np.ndarray, np.ndarray]:
         o = np.array([(-f.gain, f.ratio) for f in p])
@@ -129,7 +144,7 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
         for k in range(0, 2 * population, 4):
             a, b = cross(now[better(order[k], order[k + 1])].shapelet, now[better(order[k + 2], order[k + 3])].shapelet, crossover, rng)
             young += [mutate(a, mutation, rng), mutate(b, mutation, rng)]
-        both = now + evaluate(spark, series, young, least, memo)
+        both = now + evaluate(series, young, least, memo)
         done += len(young)
         rank, crowd = judge(both)
         keep = sorted(range(len(both)), key=lambda i: (rank[i], -crowd[i], i))[:population]

@@ -117,10 +117,8 @@ class Split:
         """Branch of a normalised row; null if unknown."""
         c = (df_cols or {}).get(self.attr, F.col(f"`{self.attr}`"))
         if self.kind == "values":
-            out = F.lit(None).cast("int")
-            for i, v in reversed(list(enumerate(self.values))):
-                out = F.when(c == v, F.lit(i)).otherwise(out)
-            return out
+            at = F.array_position(F.array(*[F.lit(v) for v in self.values]), c)
+            return F.when(at > 0, (at - 1).cast("int"))
         if self.kind == "value":
             return F.when(c.isNotNull(), F.when(c == self.values[0], 0).otherwise(1))
         if self.kind == "threshold":
@@ -246,13 +244,18 @@ def _deal(rows: DataFrame, chosen: dict[int, tuple[Split, list[float], list[int]
         unknown = F.array(*[F.struct(F.lit(k).alias("to"), F.lit(s / total).alias("part")) for k, s in zip(kids, shares, strict=True) if s > 0])
         known = F.array(F.struct(F.element_at(F.array(*[F.lit(k) for k in kids]), b + 1).alias("to"), F.lit(1.0).alias("part")))
         parts.append((node, F.when(b.isNull(), unknown).otherwise(known)))
-    to = F.lit(None).cast("array<struct<to:int,part:double>>")
-    for node, p in parts:
-        to = F.when(F.col("node") == node, p).otherwise(to)
-    out = rows.where(F.col("node").isin(list(chosen))).withColumn("_to", F.explode(to))
+    out = rows.where(F.col("node").isin(list(chosen))).withColumn("_to", F.explode(by_node(parts)))
     return out.withColumn("node", F.col("_to.to")).withColumn("w", F.col("w") * F.col("_to.part")).where("w > 0").drop("_to")
 
 
+def by_node(parts: list[tuple[int, Column]]) -> Column:
+    """The column of a row's node, as one flat CASE."""
+    out = None
+    for node, c in parts:
+        out = F.when(F.col("node") == node, c) if out is None else out.when(F.col("node") == node, c)
+    return out
+
+
 def _counts(rows: DataFrame, classes: list[str]) -> dict[int, list[float]]:
     got = rows.groupBy("node").agg(*splits.class_sums(classes)).collect()
     return {r["node"]: [r[f"c{i}"] for i in range(len(classes))] for r in got}
@@ -319,9 +322,7 @@ def _grow(rows: DataFrame, held: DataFrame | None, whole: DataFrame, tree: Tree,
             for r in splits.relocate(whole, t, sorted({s.attr for s in moved.values()})).collect():
                 chosen[r["node"]] = replace(chosen[r["node"]], threshold=r["actual"])
         sizes: dict[int, list[float]] = {}
-        branch = F.lit(None).cast("int")
-        for k, s in chosen.items():
-            branch = F.when(F.col("node") == k, s.branch()).otherwise(branch)
+        branch = by_node([(k, s.branch()) for k, s in chosen.items()])
         for r in rows.where(F.col("node").isin(list(chosen))).groupBy("node", branch.alias("b")).agg(F.sum("w").alias("w")).collect():
             if r["b"] is not None:
                 sizes.setdefault(r["node"], [0.0] * chosen[r["node"]].arity)[r["b"]] = r["w"]

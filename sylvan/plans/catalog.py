@@ -262,9 +262,9 @@ def item_support(spark, d):
     return patterns.item_support(_ids(spark, d))
 
 
-@query(f"{SEQS} SELECT item, count(DISTINCT sid) AS support FROM ids GROUP BY item HAVING count(DISTINCT sid) >= ceil(0.5 * (SELECT count(*) FROM sq))")
+@query(f"{SEQS} SELECT item, count(DISTINCT sid) AS support FROM ids GROUP BY item HAVING count(DISTINCT sid) >= ceil(0.35 * (SELECT count(*) FROM sq))")
 def frequent_items(spark, d):
-    n = X.event_sequences(spark, d).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.5)).alias("need"))
+    n = X.event_sequences(spark, d).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.35)).alias("need"))
     return patterns.item_support(_ids(spark, d)).join(F.broadcast(n), F.col("support") >= F.col("need")).select("item", "support")
 
 
@@ -346,7 +346,7 @@ def best_pattern_tradeoff(spark, d):
 
 @query()
 def mined_patterns(spark, d):
-    found = patterns.mine(X.event_sequences(spark, d), support=0.1, gap=2, longest=3)
+    found = patterns.mine(X.event_sequences(spark, d), support=0.04, gap=2, longest=3)
     return spark.createDataFrame([(m.text(), m.length, m.support, float(round(m.gain, 9))) for m in found], "pattern string, length int, support long, gain double")
 
 
@@ -480,7 +480,7 @@ LEAF = "CASE WHEN l_quantity - 25 < 1e-6 THEN (CASE WHEN l_discount - 0.05 < 1e-
 @query(f"SELECT leaf, CASE leaf WHEN 3 THEN 'N' WHEN 4 THEN 'R' ELSE 'A' END AS prediction, label, count(*) AS n FROM (SELECT CAST({LEAF} AS INTEGER) AS leaf, l_returnflag AS label FROM lineitem) GROUP BY 1, 2, 3")
 def tree_score_case(spark, d):
     t = sample_tree()
-    rows = score.predict(X.table(spark, d, "lineitem"), t).withColumn("leaf", score.leaf(t))
+    rows = score.with_leaf(score.predict(X.table(spark, d, "lineitem"), t), t)
     return rows.groupBy("leaf", "prediction", F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"))
 
 
