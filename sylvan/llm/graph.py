@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, materialise
+from .storage import collect_garbage, drop, materialise
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,6 +34,8 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         new = materialise(_small_star(_large_star(e)), "edges")
         drop(e)
         e = new
+        del new
+        collect_garbage(e.sparkSession)  # many small shuffles, each a file for every task
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(now) == mark:
             break

@@ -50,7 +50,7 @@ ROUNDS = 3
 #: Rows of a batch that goes to Python: of texts, and of pairs of sets.
 TEXT_ROWS, PAIR_ROWS = 2000, 250
 #: Nodes and shingles of one side of a block, about.
-SIDE, SIDE_SHINGLES = 512, 200_000
+SIDE, SIDE_SHINGLES = 1024, 250_000
 
 _CUT = [int(b * 2**48) for b in BLOCKS]
 
@@ -204,9 +204,9 @@ def _counts(rows: np.ndarray, cols: np.ndarray, half: int, n: int, width: int) -
     out = np.zeros((half, n - half), np.float32)
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    for at in range(0, width, 4096):
-        i, j = np.searchsorted(cols, (at, at + 4096))
-        m = np.zeros((n, min(4096, width - at)), np.float32)
+    for at in range(0, width, 2048):
+        i, j = np.searchsorted(cols, (at, at + 2048))
+        m = np.zeros((n, min(2048, width - at)), np.float32)
         m[rows[i:j], cols[i:j] - at] = 1
         out += m[:half] @ m[half:].T
     return out
@@ -268,10 +268,15 @@ def _rest(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     meets = materialise(now.select("node", F.min("node").over(by_tok).alias("low"), "comp", "n"), "meets")
     fam = components(meets.select(F.col("node").alias("u"), F.col("low").alias("v"))).select("node", F.col("comp").alias("family"))
     members = meets.select("node", "comp", "n").distinct().join(fam, "node")
-    sides = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(SIDE))), F.ceil(F.sum("n") / F.lit(float(SIDE_SHINGLES)))).cast("int").alias("sides"))
-    placed = members.join(sides, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")).join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    dealt = placed.select("family", "node", "comp", "shingles", "side", other.alias("other")).select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "shingles")
+    # Sides follow the sizes, so that sides whose sizes cannot reach the threshold never meet.
+    by_size = Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    side = F.greatest(F.floor((F.count("*").over(by_size) - 1) / F.lit(float(SIDE))), F.floor((F.sum("n").over(by_size) - F.col("n")) / F.lit(float(SIDE_SHINGLES)))).cast("int")
+    placed = materialise(members.withColumn("side", side), "sides")
+    sides = placed.groupBy("family", "side").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = sides.select("family", F.col("side").alias("j"), F.col("lo").alias("lo2"))
+    pairs = sides.join(other, "family").where(F.col("side") <= F.col("j")).where(f"{den} * hi >= {num} * lo2").select("family", F.col("side").alias("i"), "j")
+    plan = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side")).groupBy("family", "side").agg(F.collect_list(F.struct("i", "j")).alias("blocks"))
+    dealt = placed.join(plan, ["family", "side"]).join(sets, "node").select("family", "side", "node", "comp", "shingles", F.explode("blocks").alias("b")).select("family", "b.i", "b.j", "side", "node", "comp", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("side", "ascending"), ("node", "ascending")])
