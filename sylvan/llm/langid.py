@@ -31,7 +31,7 @@ PROFILE = 400
 #: Languages that a model can hold: the model is sent to every task, so its size is bounded.
 MAX_LANGUAGES = 2000
 #: Characters that are handled together.
-CHUNK = 500_000
+CHUNK = 250_000
 
 _NONE = 0x1FFFFF  # stands for the missing places of a shorter n-gram
 _letters: np.ndarray | None = None
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lengt
                 wait: list[np.ndarray] = []
                 for k in grams(texts):
                     wait.append(k)
-                    if sum(map(len, wait)) > 2_000_000:
+                    if sum(map(len, wait)) > 1_000_000:
                         held[lang].append(np.unique(np.concatenate(wait), return_counts=True))
                         wait = []
                 if wait:
