@@ -12,7 +12,7 @@ result is each document's component.  Steps:
     their prefixes.  A document sends only the blocks its prefix needs.
 3.  In each bucket of a prefix shingle the node with the fewest shingles of its
     own is paired with the others (linear in the bucket); linked nodes contract
-    to components.  Further rounds pair what still differs.  What then still
+    to components (ROUNDS of this pair what still differs).  What then still
     shares buckets across components is compared in square blocks of nodes, in
     memory, each block giving at most a spanning forest of its links: no link
     between components is lost and no list of pairs is ever written.
@@ -46,7 +46,7 @@ SMALL = 32
 #: Seeds of the further orders under which a pair must share prefix shingles.
 ORDERS = (11, 23)
 #: Rounds of one-against-bucket pairs before the rest is compared in blocks.
-ROUNDS = 3
+ROUNDS = 1
 #: Rows of a batch that goes to Python: of texts, and of pairs of sets.
 TEXT_ROWS, PAIR_ROWS = 2000, 250
 #: Nodes and shingles of one side of a block, about.
