@@ -12,7 +12,9 @@ entity's pattern, so equal entities get equal surrogates everywhere
 (coreference), different ones different surrogates (distinctness), and none its
 own form.  Surrogates of names are drawn by keyed hash; a collision check over
 all distinct entities of the corpus gives every entity whose surrogate another
-has already, or that is itself an entity of the corpus, a further draw.  What
+has already, or that is itself an entity of the corpus, a further draw.  After
+``FAMILY`` draws the family name varies too, written out where it was an
+initial; a clash that stays even then is an error.  What
 needs one is rare and goes to the tasks as a bounded table; beyond the bound it
 is joined to its documents instead.
 
@@ -41,6 +43,8 @@ KEY = b"surrogates"
 MOST_SENT = 100_000
 #: Draws after which a name gets a number of its own.
 DRAWS = 6
+#: Draws after which its family name varies, and rounds of the check that may follow.
+FAMILY, SPARE = 12, 30
 
 # Titles with the gender they tell.
 MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Sir|господин"
@@ -283,12 +287,13 @@ def _person(name: str, gender: str, key: bytes, draw: int) -> str:
     """Family name by its own hash, given names by theirs, so "Mr Smith" and "Mr John Smith" share theirs.
 
     Before the first draw given names come from a list; later draws vary them; a
-    name of one part varies itself.
+    name of one part varies itself.  From draw ``FAMILY`` on the family name varies
+    too, and is a word, as initials are too few to tell many people apart.
     """
     parts = person_parts(name)
     cyrillic = bool(re.search("[а-яё]", name, re.I))
     female = gender == "f" or not gender and bool(re.search("(?:ова|ева|ина|ая)$", name))
-    family = _made_up(_prf(key, "family", parts[-1].lower(), draw if len(parts) == 1 else 0) >> 8, cyrillic, female)
+    family = _made_up(_prf(key, "family", parts[-1].lower(), draw if len(parts) == 1 or draw >= FAMILY else 0) >> 8, cyrillic, female)
     names = {(False, False): GIVEN_MALE, (False, True): GIVEN_FEMALE, (True, False): CYRILLIC_MALE, (True, True): CYRILLIC_FEMALE}[cyrillic, female]
     out = []
     for g in parts[:-1]:
@@ -297,7 +302,7 @@ def _person(name: str, gender: str, key: bytes, draw: int) -> str:
         if pick.lower() == g.lower():
             pick = names[(h + 1) % len(names)]
         out.append(_shape(pick if draw < DRAWS else _made_up(h >> 8, cyrillic, False) + ("a" if female and not cyrillic else ""), g))
-    return " ".join([*out, _shape(family, parts[-1])])
+    return " ".join([*out, family if draw >= FAMILY and parts[-1].endswith(".") else _shape(family, parts[-1])])
 
 
 _BY_KIND = {"ip": _ip, "card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "email": _email, "secret": _secret, "credential": _secret}
@@ -358,7 +363,7 @@ def _assign(key: bytes):
     return run
 
 
-def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rounds: int = 12) -> DataFrame:
+def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rounds: int = FAMILY + SPARE) -> DataFrame:
     """(kind, form, gender, draw) of the entities that need another draw than the first.
 
     Only names are drawn; all other surrogates are permutations and cannot collide.
@@ -376,6 +381,8 @@ def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rou
         if not now.where("clash").take(1):
             break
         now = now.drop("clash")
+    else:
+        raise RuntimeError(f"names still share a surrogate after {rounds} rounds of draws")
     return now.select("kind", "form", "gender", "draw").where("draw > 0")
 
 

@@ -105,3 +105,18 @@ def test_table(spark, monkeypatch, most):
     assert [got[i, i].n_entities for i in (1, 2, 3, 4, 5)] == [0, 0, 1, 0, 2]
     assert got[3, 3].text.startswith("x x") and not got[3, 3].text.endswith("39.197.112.39")
     assert pii.pseudonymise(df.limit(0)).collect() == []
+
+
+def test_initials_stay_distinct(spark):
+    """More people of a family, and bare initials, than there are initials to draw."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(i, f"{t} said") for i, t in enumerate([f"Mr {c}. Smith" for c in letters] + [f"Dr {c}." for c in letters] + [f"Mrs {c}. {e}." for c in letters for e in letters])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [r.text for r in pii.pseudonymise(df).collect()]
+    assert len(set(made)) == len(rows) and not set(made) & {t for _, t in rows}
+
+
+def test_clashes_that_stay_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda *_: "Same Name")
+    with pytest.raises(RuntimeError, match="share a surrogate"):
+        pii.further_draws(spark.createDataFrame([(1, "Mr A. Smith, Mr B. Smith")], "doc_id long, text string"), rounds=2).collect()
