@@ -3,14 +3,16 @@
 Writing.  Of pages with equal payloads (SHA-1 and length) the one with the
 largest page id becomes a response record, the others revisit records that
 refer to it; payloads below ``least`` bytes are always responses.  Records go
-through Spark's text sink with the record terminator as line separator, so the
-files are plain WARC/1.1 (or one gzip member a file) on whatever file system
-holds the shared folder, and commits and retries are Spark's own.
+through Spark's text sink, so the files lie on whatever file system holds the
+shared folder, and commits and retries are Spark's own.  Plain WARC/1.1 has the
+record terminator as line separator; compressed archives have one gzip member a
+record, so damage to one leaves the others, and an empty member as separator.
 
 Reading.  A record counts only if its version line, headers, length,
 terminator, block digest and (of a response) payload digest hold.  After a
 failed check the reader searches on for the next gzip member that opens with a
-version line, or the next version line, and goes on there; each stretch of
+version line, or the next version line, and goes on there; of a damaged member
+all that comes out ahead of the damage is read.  Each stretch of
 bytes it had to pass over is logged as a gap with the reason.  Offsets in a
 compressed archive are those of the member.
 
@@ -25,6 +27,7 @@ parsed in one task; its size is bounded by the partition that wrote it.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -42,6 +45,7 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records in one archive file at most.
 PER_FILE = 20_000
 _GZIP = b"\x1f\x8b\x08"
+_END = b"\r\n\r\n"
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -96,7 +100,17 @@ def _records(pages: DataFrame, least: int, date: str) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE, codec: str = "gzip") -> None:
     """Write ``pages(page_id, url, html)`` as archives under ``path``."""
-    _records(pages, least, date).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", codec).text(path)
+    rows, sep = _records(pages, least, date), _END
+    if codec == "gzip":
+        rows, sep = rows.mapInArrow(_members, "record binary").select(F.col("record").cast("string")), gzip.compress(b"", mtime=0)
+        codec = "none"
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", sep.decode("latin-1")).option("maxRecordsPerFile", PER_FILE).option("compression", codec).text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record with its terminator as a gzip member."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(r.encode() + _END, 6, mtime=0) for r in b.column(0).to_pylist()], pa.binary())], ["record"])
 
 
 class _Bad(Exception):
@@ -180,10 +194,16 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     view = memoryview(data)
     try:
         for i in range(at, len(data), 1 << 16):
+            before = d.copy()
             out.append(d.decompress(view[i : i + (1 << 16)]))
             if d.eof:
                 return b"".join(out), min(i + (1 << 16), len(data)) - len(d.unused_data), ""
     except zlib.error as why:
+        try:  # what a failing call had made is lost, so byte by byte up to the damage
+            for k in range(i, min(i + (1 << 16), len(data))):
+                out.append(before.decompress(view[k : k + 1]))
+        except zlib.error:
+            pass
         return b"".join(out), -1, str(why)
     return b"".join(out), -1, "member does not end"
 

@@ -133,3 +133,28 @@ def test_gaps_are_logged_by_the_reader(spark, tmp_path):
     rows = read_archives(spark, f"file://{tmp_path}/bad", payload=True).collect()
     assert [r.reason for r in rows if r.kind == "gap"] == ["block digest differs"]
     assert len([r for r in rows if r.kind == "record"]) == 4
+
+
+def test_records_ahead_of_the_damage_are_kept():
+    whole = gzip.compress(b"".join(archive()))
+    for at in (-6, -2):  # check sum and length of a member that is intact
+        bad = bytearray(whole)
+        bad[at] ^= 1
+        got, gaps = read(bytes(bad))
+        assert got == ids(*range(6)) and len(gaps) == 1
+    r = random.Random(3)
+    parts = [p.replace(b"WARC-Type", b"X-Fill: %s\r\nWARC-Type" % bytes(r.choices(b"abcdefghijklmnop", k=900)), 1) for p in archive(40)]
+    bad = bytearray(gzip.compress(b"".join(parts)))
+    bad[-200] ^= 0x55
+    assert read(bytes(bad))[0][:38] == ids(*range(38))
+
+
+def test_own_archives_lose_the_damaged_record_alone(spark, tmp_path):
+    pages = [(i, f"http://a.example/{i}", f"<p>page {i}</p>" * 30) for i in range(50)]
+    write_archives(frame(spark, pages).coalesce(1), f"file://{tmp_path}/w")
+    data = bytearray(b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*")))
+    whole = read(bytes(data))
+    assert sorted(whole[0]) == sorted(ids(*range(50))) and whole[1] == []
+    data[len(data) // 2] ^= 0x55
+    assert len(read(bytes(data))[0]) >= 49
+    assert gzip.decompress(b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))).count(b"WARC/1.1\r\n") == 50
