@@ -80,11 +80,26 @@ def dtw(a: Sequence[float], b: Sequence[float]) -> float:
     return float(local_cut(np.sqrt(row[-1])))
 
 
+def dtw_nearest(series: Sequence[float], shapelet: Sequence[float]) -> float:
+    """Least warping distance of the shapelet to a window of its length, all windows at once; a shorter series is one window."""
+    a, b = np.asarray(series, float), np.asarray(shapelet, float)
+    w = np.lib.stride_tricks.sliding_window_view(a, min(len(a), len(b)))
+    row = np.full((len(w), len(b) + 1), np.inf)
+    row[:, 0] = 0
+    for k in range(w.shape[1]):
+        cost = (w[:, k : k + 1] - b) ** 2
+        new = np.full_like(row, np.inf)
+        for j in range(len(b)):
+            new[:, j + 1] = cost[:, j] + np.minimum(np.minimum(row[:, j], row[:, j + 1]), new[:, j])
+        row = new
+    return float(local_cut(np.sqrt(row[:, -1].min())))
+
+
 def dtw_udf(shapelet: Sequence[float]):
     @F.pandas_udf("double")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
-            yield s.map(lambda v: dtw(v, shapelet))
+            yield s.map(lambda v: dtw_nearest(v, shapelet) if v is not None and len(v) else None)
 
     return run
 

@@ -402,7 +402,7 @@ def series_assemble(spark, d):
 @query()
 def dtw_optional(spark, d):
     shapelet = [float(v) for v in _shapelet(spark, d).first()["shapelet"]]
-    return X.embedding_series(spark, d).select("sid", TS.dtw_udf(shapelet)(F.slice("series", 1, 16)).alias("distance"))
+    return X.embedding_series(spark, d).select("sid", TS.dtw_udf(shapelet)("series").alias("distance"))
 
 
 @query()

@@ -82,3 +82,17 @@ def test_distance_to_an_own_stretch_is_nothing():
     s = [r.random() for _ in range(30)]
     assert TS.local_distance(s, s[7:19]) == 0 and TS.dtw(s, s) == 0
     assert TS.compression_ratio([1.0] * 50) < TS.compression_ratio([r.random() for _ in range(50)])
+
+
+def test_warping_distance_is_the_least_over_all_windows(spark, sf):
+    from sylvan.plans import catalog
+    from sylvan.sources import fixtures
+
+    got = {r.sid: r.distance for r in catalog.QUERIES["dtw_optional"](spark, sf).collect()}
+    series = {r.sid: list(r.series) for r in fixtures.embedding_series(spark, sf).collect()}
+    shapelet = series[38][8:24]
+    assert got.keys() == series.keys() and got[38] == 0
+    for sid in list(series)[:10]:
+        s = series[sid]
+        assert abs(got[sid] - min(TS.dtw(s[i : i + 16], shapelet) for i in range(len(s) - 15))) < 2e-5
+    assert TS.dtw_nearest(shapelet[:5], shapelet) == TS.dtw(shapelet[:5], shapelet)
