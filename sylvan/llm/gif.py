@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import in_batches, materialise
 
 WIDTH, ROWS = 64, 4096
 #: Milliseconds that a payload frame is shown.
@@ -306,7 +306,7 @@ def decode_frames(media: DataFrame, gif_col: str = "gif", keep: tuple[str, ...]
                         [*keep, "frame", "delay_ms", "width", "height", "rgba", "histogram"],
                     )
 
-    return media.select(*keep, gif_col).mapInArrow(run, f"{kept}, {FRAME_SCHEMA}")
+    return in_batches(media.select(*keep, gif_col), run, f"{kept}, {FRAME_SCHEMA}")
 
 
 def pad(data: bytes) -> bytes:
@@ -327,7 +327,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(made)), pa.array(size, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "gif"])
                     made, size, first = [], [], i + 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, gif binary")
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_bytes long, gif binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -347,7 +347,7 @@ def features(media: DataFrame) -> DataFrame:
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], [f.split()[0] for f in FEATURES.split(", ")])
 
-    return media.mapInArrow(run, FEATURES)
+    return in_batches(media, run, FEATURES)
 
 
 def store_and_read_back(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import arrow_rows, collect_garbage, drop, materialise
+from .storage import collect_garbage, drop, fresh, in_batches, materialise
 from .text import U, mix, shingles, word_batches
 
 #: Ends of the first order's hash blocks as parts of the hash range.
@@ -47,8 +47,6 @@ SMALL = 32
 ORDERS = (11, 23)
 #: Rounds of one-against-bucket pairs before the rest is compared in blocks.
 ROUNDS = 1
-#: Rows of a batch that goes to Python: of texts, and of pairs of sets.
-TEXT_ROWS, PAIR_ROWS = 2000, 250
 #: Nodes and shingles of one side of a block, about.
 SIDE, SIDE_SHINGLES = 1024, 250_000
 
@@ -163,7 +161,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return in_batches(docs, run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def same_order_prefix(a: np.ndarray, b: np.ndarray, seed: int, num: int, den: int) -> bool:
@@ -196,7 +194,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), num, den) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return in_batches(near.select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def _counts(rows: np.ndarray, cols: np.ndarray, half: int, n: int, width: int) -> np.ndarray:
@@ -303,8 +301,7 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
     by_tok = Window.partitionBy("tok")
     postings = materialise(prefixes.withColumn("m", F.count("*").over(by_tok)).where("m > 1").drop("m"), "postings")
     drop(prefixes)
-    with arrow_rows(spark, TEXT_ROWS):
-        sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
+    sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
     collect_garbage(spark)
     done = edges = comps = None
     fits = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
@@ -320,8 +317,7 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
             pairs = pairs.where(f"comp <> comp2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
             pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
             done = pairs if done is None else done.unionByName(pairs)
-            with arrow_rows(spark, PAIR_ROWS):
-                found = materialise(_verify(pairs, sets, num, den), "found")
+            found = materialise(_verify(pairs, sets, num, den), "found")
         else:
             found = materialise(_rest(now, sets, num, den), "found")
         drop(now)
@@ -337,8 +333,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     """(id, h, n_shingles, class, component_id) for each row; h is a hash of the text, class null for an empty set."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        rows = materialise(source.mapInArrow(_sketch(n, num, den), "id long, h long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
+    rows = materialise(in_batches(source, _sketch(n, num, den), "id long, h long, node long, n_shingles long, e0 long, e1 long, toks array<long>"), "sketch")
     comps = _links(source.select("text"), rows, n, num, den)
     lows = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     merged = lows.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("class"), "low")
@@ -361,11 +356,14 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     mark = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     keepers = found.groupBy("class").agg(F.min(mark).alias("k"), F.count("*").alias("n")).where("n > 1").select("class", "k")
     judged = found.join(keepers, "class").select("id", "h", (mark == F.col("k")).alias("stays"))
-    gone = judged.where("not stays").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
-    twice = judged.where("stays").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    marks = materialise(gone.withColumn("_gone", F.lit(True)).unionByName(twice.withColumn("_gone", F.lit(False))), "marks")
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
-    rows = docs.join(marks, here, "left").where("_gone is null or not _gone")
-    first = Window.partitionBy("_id", "_h").orderBy(*[F.col(c).cast("string") for c in docs.columns])
-    kept = rows.where("_gone is not null").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-    return rows.where("_gone is null").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    own_id, own_h, own_gone, own_rn = fresh(docs, "_id", "_h", "_gone", "_rn")
+    key = [F.col("id").alias(own_id), F.col("h").alias(own_h)]
+    gone = judged.where("not stays").select(*key).distinct()
+    twice = judged.where("stays").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    marks = materialise(gone.withColumn(own_gone, F.lit(True)).unionByName(twice.withColumn(own_gone, F.lit(False))), "marks")
+    mine = [F.col(f"`{c}`") for c in docs.columns]
+    here = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(own_h))
+    rows = docs.join(marks, here, "left").where(F.col(own_gone).isNull() | ~F.col(own_gone))
+    first = Window.partitionBy(own_id, own_h).orderBy(*[c.cast("string") for c in mine])
+    kept = rows.where(F.col(own_gone).isNotNull()).withColumn(own_rn, F.row_number().over(first)).where(F.col(own_rn) == 1)
+    return rows.where(F.col(own_gone).isNull()).select(*mine).unionByName(kept.select(*mine))

@@ -42,13 +42,11 @@ from pyspark.sql import functions as F
 
 from .elias_fano import Trie
 from .langid import id_remainder
-from .storage import arrow_rows, collect_garbage, materialise, new_path
+from .storage import collect_garbage, in_batches, materialise, new_path
 from .text import U, mix, word_batches
 
 #: Tokens in a block, about; records (distinct n-grams of a block) in a shard, about.
 BLOCK, SHARD = 500_000, 500_000
-#: Rows of text in a batch that goes to Python.
-TEXT_ROWS = 2000
 #: Occurrences beyond which a context's successors are dealt over several shards.
 HOT = 200_000
 #: Weight of the order below.
@@ -341,14 +339,13 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     buckets = _buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("held").alias("held"), F.col("text").cast("string").alias("text"))
-    with arrow_rows(spark, TEXT_ROWS):
-        blocks = _bucketed(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks", buckets)
+    blocks = _bucketed(in_batches(rows, _blocks, BLOCK_SCHEMA), "blocks", buckets)
     seen = F.expr("aggregate(zip_with(sizes, held, (s, h) -> if(h, 0L, cast(s as bigint))), 0L, (a, x) -> a + x)")
     total = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.sum(seen), F.sum(F.expr("size(filter(held, h -> not h))"))).first()
     stats = {"tokens": total[1] or 0, "docs": total[2] or 0, "shards": int((total[0] or 0) // SHARD + 1), "vocabulary": 0}
     state = blocks
     for k in range(1, order + 1):
-        sent = state.mapInArrow(_send(dict(stats), k), "shard int, block long, data binary")
+        sent = in_batches(state, _send(dict(stats), k), "shard int, block long, data binary")
         answers = materialise(sent.groupBy("shard").applyInArrow(_answer(k), ANSWER), "answers")
         if k == 1:
             stats["vocabulary"] = answers.agg(F.sum("types")).first()[0] or 0
@@ -356,7 +353,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         state = state.join(by_block, "block")
         del sent
         collect_garbage(spark)
-    return state.mapInArrow(_score(dict(stats), order), SCORES)
+    return in_batches(state, _score(dict(stats), order), SCORES)
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

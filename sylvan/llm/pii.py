@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise
+from .storage import in_batches, materialise
 
 KEY = b"surrogates"
 #: Rows of the table of further draws that may be sent to all tasks.
@@ -368,11 +368,11 @@ def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rou
 
     Only names are drawn; all other surrogates are permutations and cannot collide.
     """
-    found = materialise(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_detect, ENTITY).distinct(), "entities")
+    found = materialise(in_batches(docs.select(F.col(text_col).cast("string").alias("text")), _detect, ENTITY).distinct(), "entities")
     now = found.withColumn("draw", F.lit(0))
     forms = found.select(F.col("form").alias("made")).distinct().withColumn("real", F.lit(True))
     for _ in range(rounds):
-        made = materialise(now.mapInArrow(_assign(key), f"{ENTITY}, draw int, made string"), "draws")
+        made = materialise(in_batches(now, _assign(key), f"{ENTITY}, draw int, made string"), "draws")
         first = made.groupBy("made").agg(F.min(F.struct("draw", "form", "gender")).alias("keeper"), F.count("*").alias("n"))
         again = made.join(first, "made").join(forms, "made", "left")
         clash = F.col("real").isNotNull() | ((F.col("n") > 1) & (F.struct("draw", "form", "gender") != F.col("keeper")))
@@ -403,7 +403,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, coun
                 rows = [(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), kind, canonical(kind, t[a:e]), gender) for t in b.column(0).to_pylist() if t for kind, a, e, gender in entities(t) if kind == "person"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["h", "kind", "form", "gender"])
 
-        own = docs.select(F.col(text_col).cast("string")).mapInArrow(hits, f"h string, {ENTITY}").distinct().join(draws, ["kind", "form", "gender"]).groupBy("h").agg(F.collect_list(F.struct("kind", "form", "gender", "draw")).alias("_draws"))
+        own = in_batches(docs.select(F.col(text_col).cast("string")), hits, f"h string, {ENTITY}").distinct().join(draws, ["kind", "form", "gender"]).groupBy("h").agg(F.collect_list(F.struct("kind", "form", "gender", "draw")).alias("_draws"))
         digest = F.udf(lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), "string")
         docs = docs.withColumn("_h", digest(F.col(text_col))).join(own, F.col("_h") == F.col("h"), "left").drop("_h", "h")
     joined = own is not None
@@ -425,4 +425,4 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, coun
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(n, pa.int64())] if count_col else [])], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)

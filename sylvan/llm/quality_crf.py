@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .langid import id_remainder
+from .storage import in_batches
 from .text import CHUNK, U, chunks, mix, string_buffers, words
 
 #: Labelled documents in the fit at most, and lines of each.
@@ -237,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     marked = labels.select(F.col("doc_id").cast("long").alias("of"), F.col(label_col).cast("int").alias("label")).where("of is not null and label is not null").groupBy("of").agg(F.max("label").alias("label"))
     chosen = marked.orderBy(F.xxhash64("of"), "of").limit(most)
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("label", "text")
-    got = rows.mapInArrow(_sample_lines, "label int, length binary, x binary").limit(4 * most).toPandas().sort_values(["label", "x", "length"], kind="stable")
+    got = in_batches(rows, _sample_lines, "label int, length binary, x binary").limit(4 * most).toPandas().sort_values(["label", "x", "length"], kind="stable")
     lengths = [np.frombuffer(v, np.int64) for v in got["length"]]
     doc = np.repeat(np.arange(len(got)), [len(v) for v in lengths])
     length = np.concatenate([*lengths, np.zeros(0, np.int64)])
@@ -258,7 +259,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             said = [sent.value.documents(*line_features(data, offsets[i : j + 1]), j - i) for i, j in chunks(offsets, CHUNK)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*said, np.zeros(0)]))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 THRESHOLD = 0.3

@@ -8,7 +8,6 @@ written.  Only a session without that setting (a test) gets a local folder.
 from __future__ import annotations
 
 import atexit
-import contextlib
 import shutil
 import tempfile
 import uuid
@@ -47,16 +46,31 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """At most ``n`` rows in each batch that goes to Python, for the jobs run within; for wide rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+#: Bytes of a batch of rows that goes to Python, at most; a longer row is alone.
+BATCH = 2_000_000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, each batch of ``BATCH`` bytes at most.
+
+    The limit is the session's, lowered where it is higher, as a plan reads it
+    when it runs.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
+        spark.conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def drop(df: DataFrame) -> None:

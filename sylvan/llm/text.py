@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed together; bounds the working arrays (about 40 bytes a byte).
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True)

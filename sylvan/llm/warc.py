@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import in_batches, new_path
 
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
     """Write ``pages(page_id, url, html)`` as archives under ``path``."""
     rows, sep = _records(pages, least, date), _END
     if codec == "gzip":
-        rows, sep = rows.mapInArrow(_members, "record binary").select(F.col("record").cast("string")), gzip.compress(b"", mtime=0)
+        rows, sep = in_batches(rows, _members, "record binary").select(F.col("record").cast("string")), gzip.compress(b"", mtime=0)
         codec = "none"
     rows.write.option("encoding", "ISO-8859-1").option("lineSep", sep.decode("latin-1")).option("maxRecordsPerFile", PER_FILE).option("compression", codec).text(path)
 
@@ -272,7 +272,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return in_batches(files, run, schema)
 
 
 def _page(urn: str) -> Column:
