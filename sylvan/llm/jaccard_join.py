@@ -11,13 +11,22 @@ result is each document's component.  Steps:
     come first, so a passage that thousands of documents repeat stays out of
     their prefixes.  A document sends only the blocks its prefix needs.
 3.  In each bucket of a prefix shingle the node with the fewest shingles of its
-    own is paired with the others (linear in the bucket); linked nodes contract
-    to components (ROUNDS of this pair what still differs).  What then still
-    shares buckets across components is compared in square blocks of nodes, in
-    memory, each block giving at most a spanning forest of its links: no link
+    own is paired with the others (linear in the bucket).  A pair stays a
+    candidate only if its prefixes under the other orders (independent hash
+    orders) meet as well; these are small and move first.  Only for what is left
+    do the sets move, and the exact overlap decides.  Linked nodes contract to
+    components.
+4.  What still shares buckets across components is compared in blocks, in
+    memory, by the same filters and the same test.  Nodes that meet, directly
+    or through others, are a family.  A family that fits a side is one block; a
+    larger one is cut by size (sets whose sizes cannot reach the threshold never
+    meet) and by shared shingle into sides, and only sides that share a bucket
+    are compared.  A block gives at most a spanning forest of its links: no link
     between components is lost and no list of pairs is ever written.
-4.  Before a pair is verified it must also share prefix shingles under the
-    other orders (independent hash orders); then the exact overlap decides.
+
+A shingle that a sample shows to be in very many nodes is counted apart, its
+rows dealt by shingle and node, so no task sorts them all; everything else by
+shingle is a sum with partial sums.
 
 Nulls: a null or wordless text has an empty set, n_shingles 0 and links with
 nothing; its component is its own doc_id.  A text of fewer than n words is one
@@ -28,6 +37,7 @@ the id and the text are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +55,11 @@ BLOCKS = (0.3, 0.6)
 SMALL = 32
 #: Seeds of the further orders under which a pair must share prefix shingles.
 ORDERS = (11, 23)
-#: Rounds of one-against-bucket pairs before the rest is compared in blocks.
-ROUNDS = 1
-#: Nodes and shingles of one side of a block, about.
-SIDE, SIDE_SHINGLES = 1024, 250_000
+#: Nodes that hold a shingle, and part of all nodes, from which on it is counted apart; one node of so many is in the sample that tells.
+HOT, HOT_PART, SAMPLED = 2000, 1000, 32
+#: Nodes and shingles of a side of a block, about; and of what is compared at once within it.
+SIDE, SIDE_SHINGLES = 2048, 500_000
+TILE, TILE_SHINGLES = 1024, 250_000
 
 _CUT = [int(b * 2**48) for b in BLOCKS]
 
@@ -106,13 +117,35 @@ def _sketch(n: int, num: int, den: int):
     return run
 
 
+def _hot(sent: DataFrame) -> DataFrame:
+    """(tok): shingles of very many of the nodes of ``sent(node, toks)``; at most ``HOT_PART`` times a node's shingles."""
+    need = max(HOT, sent.count() // HOT_PART) // SAMPLED
+    sample = sent.where(F.pmod(F.xxhash64(F.lit("hot"), "node"), F.lit(SAMPLED)) == 0).select(F.explode("toks").alias("tok"))
+    return materialise(sample.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("tok"), "hot")
+
+
+def _shared(sent: DataFrame) -> DataFrame:
+    """(tok, node, c): the shingles that more than one node holds, and how many do."""
+    hot = _hot(sent)
+    some = bool(hot.take(1))
+    flat = sent.select("node", F.explode("toks").alias("tok"))
+    cold = (flat.join(F.broadcast(hot), "tok", "left_anti") if some else flat).repartition("tok")
+    by_node = Window.partitionBy("tok").orderBy("node")
+    seen = cold.select("tok", "node", F.dense_rank().over(by_node).alias("r"), F.lag("node").over(by_node).alias("before"))
+    out = seen.withColumn("c", F.max("r").over(Window.partitionBy("tok"))).where("c > 1 and (before is null or before <> node)").select("tok", "node", "c")
+    if some:
+        own = flat.join(F.broadcast(hot), "tok", "left_semi").dropDuplicates(["tok", "node"])
+        # A row a hot shingle, of which there is a bounded number.
+        held = own.groupBy("tok").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+        out = out.unionByName(own.join(F.broadcast(held), "tok").select("tok", "node", "c"))
+    return out
+
+
 def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(tok, node, n, own): the shared shingles in each node's prefix under the first order."""
-    flat = rows.where("toks is not null").select("node", F.explode("toks").alias("tok")).repartition("tok")
-    by_node = Window.partitionBy("tok").orderBy("node")
-    seen = flat.select("tok", "node", F.dense_rank().over(by_node).alias("r"), F.lag("node").over(by_node).alias("before"))
-    shared = seen.withColumn("c", F.max("r").over(Window.partitionBy("tok"))).where("c > 1 and (before is null or before <> node)").select("tok", "node", "c")
-    nodes = rows.where("toks is not null").select("node", F.col("n_shingles").alias("n"), "e0", "e1").dropDuplicates(["node"])
+    sent = rows.where("toks is not null")
+    shared = _shared(sent.select("node", "toks"))
+    nodes = sent.select("node", F.col("n_shingles").alias("n"), "e0", "e1").dropDuplicates(["node"])
     block = F.when(F.col("tok") < _CUT[0], 0).when(F.col("tok") < _CUT[1], 1).otherwise(2)
     own = Window.partitionBy("node", "block")
     return (
@@ -132,69 +165,84 @@ def prefix_sql(num: int, den: int):
     return F.expr(f"n - ((n * {num} + {den} - 1) div {den}) + 1")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the texts.
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of hashed keys ``k``, of at most 16 MB however many they are: bit k modulo its length is set for each."""
+    bits = 1 << min(27, max(10, (16 * max(keys.count(), 1)).bit_length()))
+    slots = keys.select(F.expr(f"k & {bits - 1}L").alias("s")).select(F.expr("s >> 6").alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
+    got = slots.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out
+
+
+def order_prefixes(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """A set's prefix under each further order, as sorted 32-bit values."""
+    p = prefix_length(len(s), num, den)
+    out = []
+    for seed in ORDERS:
+        k = mix(s, seed)
+        out.append(np.sort(((np.partition(k, p - 1)[:p] if p < len(k) else k) >> U(32)).astype(np.uint32)))
+    return out
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays share a value."""
+    return bool((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).any())
 
-    A bitmap of hashed node ids, of at most 16 MB whatever the input, keeps
-    most other sets from leaving their task; what it lets through by chance
-    costs time and is joined away.
+
+_FILTERS = [f"f{k}" for k in range(len(ORDERS))]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, shingles, f0, f1 ...) of the wanted nodes, from the texts: the set, and its prefix under each further order.
+
+    A bitmap keeps most other sets from leaving their task; what it lets through
+    by chance costs time and is joined away.
     """
-    count = wanted.count()
-    bits = 1 << min(27, max(10, (16 * max(count, 1)).bit_length()))
-    spark = docs.sparkSession
-    slot = F.expr(f"node & {bits - 1}L")
-    got = wanted.select(slot.alias("s")).select(F.expr("s >> 6").alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(bitmap)
+    known = _bitmap(wanted.select(F.col("node").alias("k")))
+    last = len(known) * 64 - 1
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        known = sent.value
         for b in batches:
             for _, ids, counts in word_batches(b.column(0)):
-                node, sets = [], []
+                node, sets, first = [], [], []
                 for s in doc_sets(ids, counts, n):
-                    if len(s) and (x := set_id(s)) not in seen and int(known[(x & (bits - 1)) >> 6]) >> (x & 63) & 1:
+                    if len(s) and (x := set_id(s)) not in seen and int(sent.value[(x & last) >> 6]) >> (x & 63) & 1:
                         seen.add(x)
                         node.append(x)
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                        first.append([p.tobytes() for p in order_prefixes(s, num, den)])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary()), *[pa.array([f[k] for f in first], pa.binary()) for k in range(len(ORDERS))]], ["node", "shingles", *_FILTERS])
 
-    return in_batches(docs, run, "node long, shingles binary").dropDuplicates(["node"])
-
-
-def same_order_prefix(a: np.ndarray, b: np.ndarray, seed: int, num: int, den: int) -> bool:
-    """Whether two sets share a prefix shingle under the hash order of ``seed``."""
-    firsts = []
-    for s in (a, b):
-        p = prefix_length(len(s), num, den)
-        k = mix(s, seed)
-        firsts.append(np.partition(k, p - 1)[:p] if p < len(k) else k)
-    x, y = np.sort(firsts[0]), firsts[1]
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    return bool((x[at] == y).any())
+    return in_batches(docs, run, f"node long, shingles binary, {', '.join(f'{f} binary' for f in _FILTERS)}").dropDuplicates(["node"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Prefix filters under every further order, then the exact test; a and b are sorted."""
-    if not all(same_order_prefix(a, b, seed, num, den) for seed in ORDERS):
-        return False
+    """The exact test; a and b are sorted."""
     both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) that reach the threshold."""
-    near = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+def _both(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFrame:
+    """The pairs (u, v) whose nodes' columns of ``sets`` ``keep`` takes."""
+    k = len(columns)
+    for side in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), num, den) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            said = [keep([x.as_buffer() for x in row[:k]], [x.as_buffer() for x in row[k:]]) for row in zip(*batch.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(said, pa.bool_()))
+
+    return in_batches(pairs.select("u", "v", *[f"{side}_{c}" for side in ("u", "v") for c in columns]), run, "u long, v long")
 
-    return in_batches(near.select("u", "v", "a", "b"), run, "u long, v long")
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that reach the threshold: those that meet under every order, then those whose overlap is enough."""
+    candidates = _both(pairs, sets, _FILTERS, lambda u, v: all(meet(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(u, v, strict=True)))
+    return _both(candidates, sets, ["shingles"], lambda u, v: similar(np.frombuffer(u[0], U), np.frombuffer(v[0], U), num, den))
 
 
 def _counts(rows: np.ndarray, cols: np.ndarray, half: int, n: int, width: int) -> np.ndarray:
@@ -210,32 +258,53 @@ def _counts(rows: np.ndarray, cols: np.ndarray, half: int, n: int, width: int) -
     return out
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs of a left and a right set that are similar: prefix filters under every further order, then the overlap."""
     sets, half = left + right, len(left)
     size = np.array([len(s) for s in sets])
+    may = (den * np.minimum.outer(size[:half], size[half:]) >= num * np.maximum.outer(size[:half], size[half:])).astype(bool)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not may.any():
+        return none
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), size)
     _, col, often = np.unique(flat, return_inverse=True, return_counts=True)
     shared = often > 1
     place = np.cumsum(shared) - 1
-    may = (den * np.minimum.outer(size[:half], size[half:]) >= num * np.maximum.outer(size[:half], size[half:])).astype(bool)
     p = prefix_length(size, num, den)
     start = np.concatenate(([0], np.cumsum(size)))[:-1]
     for seed in ORDERS:
-        if not may.any():
-            break
         by = np.lexsort((mix(flat, seed), row))
         first = by[np.arange(len(flat)) - start[row] < p[row]]
         first = first[shared[col[first]]]
         may &= _counts(row[first], place[col[first]], half, len(sets), int(shared.sum())) > 0
-    if not may.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not may.any():
+            return none
     kept = np.concatenate((may.any(1), may.any(0)))[row] & shared[col]
     both = _counts(row[kept], place[col[kept]], half, len(sets), int(shared.sum()))
     return np.nonzero(may & (den * both >= num * (np.add.outer(size[:half], size[half:]) - both)))
 
 
+def _tiles(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Ranges of at most ``TILE`` sets and about ``TILE_SHINGLES`` shingles."""
+    cuts, total = [0], 0
+    for i, s in enumerate(sets):
+        if i > cuts[-1] and (i - cuts[-1] >= TILE or total + len(s) > TILE_SHINGLES):
+            cuts.append(i)
+            total = 0
+        total += len(s)
+    return list(zip(cuts, [*cuts[1:], len(sets)], strict=True))
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of similar pairs of two sides, or of one side (``right`` None), tile by tile."""
+    mine = _tiles(left)
+    for k, (a, b) in enumerate(mine):
+        for c, d in mine[k:] if right is None else _tiles(right):
+            x, y = tile_links(left[a:b], (left if right is None else right)[c:d], num, den)
+            yield x + a, y + c
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     """Of the links (u, v), enough to connect what they connect."""
     root: dict[int, int] = {}
@@ -255,39 +324,51 @@ def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _rest(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links between the components that still meet in a bucket.
+def _placed(meets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(family, side, node, comp) of the nodes that meet, and (family, i, j) of the sides to compare.
 
-    Nodes that meet in buckets, directly or through others, form a family; a
-    family is cut into sides of bounded size, and each pair of sides is one
-    group, which holds two sides' sets and nothing else.
+    A family that fits a side is side 0.  Of a larger one a side holds sets of one
+    band of sizes, each band a bit wider than the threshold's ratio, so a set finds
+    its partners in its band and the two beside it.  Within a band nodes are dealt
+    by their lowest shared shingle, a frequent one over several sides.
     """
-    by_tok = Window.partitionBy("tok")
-    meets = materialise(now.select("node", F.min("node").over(by_tok).alias("low"), "comp", "n"), "meets")
     fam = components(meets.select(F.col("node").alias("u"), F.col("low").alias("v"))).select("node", F.col("comp").alias("family"))
-    members = meets.select("node", "comp", "n").distinct().join(fam, "node")
-    # Sides follow the sizes, so that sides whose sizes cannot reach the threshold never meet.
-    by_size = Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    side = F.greatest(F.floor((F.count("*").over(by_size) - 1) / F.lit(float(SIDE))), F.floor((F.sum("n").over(by_size) - F.col("n")) / F.lit(float(SIDE_SHINGLES)))).cast("int")
-    placed = materialise(members.withColumn("side", side), "sides")
-    sides = placed.groupBy("family", "side").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = sides.select("family", F.col("side").alias("j"), F.col("lo").alias("lo2"))
-    pairs = sides.join(other, "family").where(F.col("side") <= F.col("j")).where(f"{den} * hi >= {num} * lo2").select("family", F.col("side").alias("i"), "j")
+    members = materialise(meets.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.min("tok").alias("first")).join(fam, "node"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(float(SIDE))), F.ceil(F.sum("n") / F.lit(float(SIDE_SHINGLES)))).cast("int")
+    large = materialise(members.groupBy("family").agg(parts.alias("k")).where("k > 1").select("family"), "large")
+    small = members.join(large, "family", "left_anti").select("family", F.lit(0).cast("long").alias("side"), "node", "comp")
+    pairs = small.select("family", F.col("side").alias("i"), F.col("side").alias("j")).distinct()
+    if not large.take(1):
+        return small, pairs
+    banded = members.join(large, "family").withColumn("band", F.floor(F.ln("n") / math.log(1.0001 * den / num)).cast("long"))
+    sides = banded.groupBy("family", "band").agg(parts.alias("k"))
+    hot = banded.groupBy("family", "band", "first").agg(parts.alias("split"))
+    side = F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("node"), "split")), "k") + F.col("band") * F.lit(1 << 32)
+    cut = materialise(banded.join(sides, ["family", "band"]).join(hot, ["family", "band", "first"]).select("family", side.alias("side"), "node", "comp"), "cut")
+    met = meets.select("tok", "node").join(cut.select("family", "side", "node"), "node").groupBy("tok").agg(F.first("family").alias("family"), F.sort_array(F.collect_set("side")).alias("sides")).select("family", "sides").distinct()
+    two = met.select("family", "sides", F.explode("sides").alias("i")).select("family", "i", F.explode("sides").alias("j"))
+    near = two.where("i <= j and (j >> 32) - (i >> 32) <= 1").distinct()
+    return small.unionByName(cut), pairs.unionByName(near)
+
+
+def _rest(meets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links between the components that still meet in a bucket; each pair of sides is one group, which holds two sides' sets and nothing else."""
+    placed, pairs = _placed(meets, num, den)
     plan = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side")).groupBy("family", "side").agg(F.collect_list(F.struct("i", "j")).alias("blocks"))
-    dealt = placed.join(plan, ["family", "side"]).join(sets, "node").select("family", "side", "node", "comp", "shingles", F.explode("blocks").alias("b")).select("family", "b.i", "b.j", "side", "node", "comp", "shingles")
+    dealt = placed.join(plan, ["family", "side"]).join(sets.select("node", "shingles"), "node").select("family", "side", "node", "comp", "shingles", F.explode("blocks").alias("b")).select("family", "b.i", "b.j", "side", "node", "comp", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("side", "ascending"), ("node", "ascending")])
+        table = table.combine_chunks()
         side, node, comp = (table[c].to_numpy() for c in ("side", "node", "comp"))
         found = [np.frombuffer(x.as_buffer(), U) for c in table["shingles"].chunks for x in c]
+        by = np.lexsort((node, [len(s) for s in found]))
         lo, hi = table["i"][0].as_py(), table["j"][0].as_py()
-        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        if not len(a) or not len(b):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        x, y = block_links([found[k] for k in a], [found[k] for k in b], num, den)
-        x, y = a[x], b[y]
-        cross = comp[x] != comp[y]
-        own = _forest(node[x[cross]], node[y[cross]])
+        a, b = by[side[by] == lo], by[side[by] == hi]
+        own: list[tuple[int, int]] = []
+        for x, y in block_links([found[k] for k in a], [found[k] for k in b] if lo != hi else None, num, den):
+            x, y = a[x], b[y]
+            cross = comp[x] != comp[y]
+            own = _forest(*np.array([*own, *zip(node[x[cross]].tolist(), node[y[cross]].tolist(), strict=True)], np.int64).reshape(-1, 2).T)
         return pa.table({"u": pa.array([p for p, _ in own], pa.int64()), "v": pa.array([q for _, q in own], pa.int64())})
 
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
@@ -298,35 +379,28 @@ def _links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> Data
     spark = docs.sparkSession
     prefixes = materialise(_prefixes(rows, num, den), "prefixes")
     collect_garbage(spark)
-    by_tok = Window.partitionBy("tok")
-    postings = materialise(prefixes.withColumn("m", F.count("*").over(by_tok)).where("m > 1").drop("m"), "postings")
+    lead = prefixes.groupBy("tok").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("own", "node", "n")).alias("lead")).where("lo <> hi").select("tok", "lead")
+    meeting = materialise(prefixes.join(lead, "tok").select("tok", "node", "n", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2")), "meeting")
     drop(prefixes)
-    sets = materialise(_sets(docs, postings.select("node").distinct(), n), "sets")
-    collect_garbage(spark)
-    done = edges = comps = None
     fits = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
-    for step in range(ROUNDS + 1):
-        now = postings.withColumn("comp", F.col("node")) if comps is None else postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = now.withColumn("lo", F.min("comp").over(by_tok)).withColumn("hi", F.max("comp").over(by_tok)).where("lo <> hi").drop("lo", "hi")
-        now = materialise(now, "meeting")
-        if not now.take(1):
-            break
-        if step < ROUNDS:
-            key = F.struct("own", "node", "comp", "n") if not step else F.struct(F.xxhash64("comp", F.lit(step)).alias("own"), "node", "comp", "n")
-            pairs = now.withColumn("lead", F.min(key).over(by_tok)).select("node", "comp", "n", F.col("lead.node").alias("node2"), F.col("lead.comp").alias("comp2"), F.col("lead.n").alias("n2"))
-            pairs = pairs.where(f"comp <> comp2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-            pairs = materialise(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-            done = pairs if done is None else done.unionByName(pairs)
-            found = materialise(_verify(pairs, sets, num, den), "found")
-        else:
-            found = materialise(_rest(now, sets, num, den), "found")
-        drop(now)
-        edges = found if edges is None else edges.unionByName(found)
-        comps = materialise(components(edges), "comps")
+    pairs = materialise(meeting.where(f"node <> node2 and {fits}").select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct(), "pairs")
+    sets = materialise(_sets(docs, meeting.select("node").distinct(), n, num, den), "sets")
+    collect_garbage(spark)
+    found = materialise(_verify(pairs, sets, num, den), "found")
+    drop(pairs)
+    comps = materialise(components(found), "comps")
+    collect_garbage(spark)
+    now = meeting.select("tok", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    still = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("low")).where("lo <> hi").select("tok", "low")
+    meets = materialise(now.join(still, "tok").select("tok", "node", "low", "comp", "n"), "meets")
+    drop(meeting)
+    if meets.take(1):
+        more = materialise(_rest(meets, sets, num, den), "found")
+        comps = materialise(components(found.unionByName(more)), "comps")
         collect_garbage(spark)
-    drop(sets)
-    drop(postings)
-    return comps if comps is not None else spark.createDataFrame([], "node long, comp long")
+    for used in (sets, meets):
+        drop(used)
+    return comps
 
 
 def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -362,8 +436,15 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     twice = judged.where("stays").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(*key)
     marks = materialise(gone.withColumn(own_gone, F.lit(True)).unionByName(twice.withColumn(own_gone, F.lit(False))), "marks")
     mine = [F.col(f"`{c}`") for c in docs.columns]
-    here = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(own_h))
-    rows = docs.join(marks, here, "left").where(F.col(own_gone).isNull() | ~F.col(own_gone))
-    first = Window.partitionBy(own_id, own_h).orderBy(*[c.cast("string") for c in mine])
-    kept = rows.where(F.col(own_gone).isNotNull()).withColumn(own_rn, F.row_number().over(first)).where(F.col(own_rn) == 1)
-    return rows.where(F.col(own_gone).isNull()).select(*mine).unionByName(kept.select(*mine))
+    row_id, row_h = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    # A bitmap tells most unmarked rows from the marked ones, so their texts stay where they are.
+    seen = _bitmap(marks.select(F.xxhash64(own_id, own_h).alias("k")))
+    bits = docs.sparkSession.createDataFrame(pa.table({"bits": pa.array([seen], pa.list_(pa.int64()))})).scalar()
+    slot = F.xxhash64(row_id, row_h).bitwiseAND(F.lit(len(seen) * 64 - 1))
+    maybe = F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    here = row_id.eqNullSafe(F.col(own_id)) & (row_h == F.col(own_h))
+    out = docs.where(~maybe).union(docs.where(maybe).join(marks, here, "left_anti").select(*mine))
+    if marks.where(~F.col(own_gone)).take(1):
+        first = F.min_by(F.struct(*mine), F.array(*[c.cast("string") for c in mine])).alias(own_rn)
+        out = out.union(docs.where(maybe).join(marks.where(~F.col(own_gone)), here).groupBy(own_id, own_h).agg(first).select(f"{own_rn}.*"))
+    return out

@@ -96,16 +96,46 @@ def test_empty_and_repeated_rows(spark):
 def test_blocks_alone_find_every_link(spark, monkeypatch):
     from sylvan.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, *_: pairs.limit(0))
     monkeypatch.setattr(jaccard_join, "SIDE", 16)
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
     check(spark, corpus(4), 4, 85, 100)
 
 
+def test_one_giant_family(spark, monkeypatch):
+    """Every text shares a passage with all others, so all are one family, cut into many sides."""
+    from sylvan.llm import jaccard_join
+
+    r = random.Random(6)
+    monkeypatch.setattr(jaccard_join, "SIDE", 24)
+    monkeypatch.setattr(jaccard_join, "HOT", 64)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 4)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(240):
+        own = rows[r.randrange(len(rows))][1].split()[60:] if i % 3 == 2 else [f"q{r.randrange(10**6)}" for _ in range(r.choice([8, 20, 45, 90]))]
+        own = own[: len(own) - r.randrange(3)]
+        rows.append((i, " ".join(passage + own)))
+    check(spark, rows, 4, 85, 100)
+
+
+def test_filters_meet_where_sets_are_similar():
+    import numpy as np
+
+    from sylvan.llm.jaccard_join import meet, order_prefixes, similar
+
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 2**63, r.integers(1, 80)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[r.random(len(a)) > 0.12], r.integers(0, 2**63, r.integers(0, 5)).astype(np.uint64), a[:1])))
+        if similar(a, b, 85, 100):
+            assert all(meet(x, y) for x, y in zip(order_prefixes(a, 85, 100), order_prefixes(b, 85, 100), strict=True))
+
+
 def test_one_of_each(spark):
     from sylvan.llm.jaccard_join import one_of_each
 
     rows = [(3, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (2, "other words in this one here"), (None, "a b c d e f"), (None, "null id of its own text"), (None, "null id of its own text"), (7, None), (8, ""), (7, None), (9, "z")]
-    df = spark.createDataFrame([(d, t, "l", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n long")
+    df = spark.createDataFrame([(d, t, "l", "s", 1, 2, True, 3) for d, t in rows], "doc_id long, text string, lang string, _id string, _h long, `a.b` long, _gone boolean, k long")
     got = sorted((tuple(r)[:2] for r in one_of_each(df).collect()), key=str)
     want = [(2, "A b c d e f"), (2, "other words in this one here"), (None, "null id of its own text"), (7, None), (8, ""), (7, None), (9, "z")]
     assert got == sorted(want, key=str)
