@@ -1,50 +1,66 @@
 """Personal data: detection and keyed surrogates.
 
 Detected entities (secrets, e-mail addresses, IBANs, social security numbers,
-IPv4 addresses, card numbers, telephone numbers, titled person names) are
-replaced by surrogates of the same type and form: letters stay letters of the
-same script and case, digits digits, separators and fixed parts as they are;
-check digits are valid again where they were; addresses keep their range's
-kind; names keep gender, script, case and the title.
+IPv4 addresses, card numbers, telephone numbers, titled person names and later
+or earlier mentions of these persons in the same text) are replaced by
+surrogates of the same type and form: letters stay letters of the same script
+and case, digits digits, separators and fixed parts as they are; check digits
+are valid again where they were; addresses keep their range's kind; names keep
+gender, script, case and the title.
 
 Everything but names goes through a keyed permutation of all strings of the
 entity's pattern, so equal entities get equal surrogates everywhere
 (coreference), different ones different surrogates (distinctness), and none its
-own form.  Surrogates of names are drawn by keyed hash; a collision check over
-all distinct entities of the corpus gives every entity whose surrogate another
-has already, or that is itself an entity of the corpus, a further draw.  After
-``FAMILY`` draws the family name varies too, written out where it was an
-initial; a clash that stays even then is an error.  What
-needs one is rare and goes to the tasks as a bounded table; beyond the bound it
-is joined to its documents instead.
+own form.  A telephone number has the same surrogate in any grouping, with or
+without its country code.
+
+A name is replaced word by word: a family name has one surrogate everywhere, a
+given name one for its gender, so a person is the same with any title, with or
+without given names.  The gender is the given name's where the lists tell it,
+else that of a Cyrillic family name's ending, else the title's; where a neutral
+title is all there is, that of the same name under another title, if there is
+just one.  Surrogate words are drawn by keyed hash.  A collision check over all
+distinct words of the corpus's names gives a further draw to every word whose
+surrogate another has already, and to a family name whose surrogate is a family
+name of the corpus; so different names stay different and none becomes another
+one of the corpus.  Initials are permuted; one whose draws run out is written
+out.  A clash that stays after that is an error.  What needs another draw is
+rare and goes to the tasks as a bounded table; beyond the bound it is joined to
+its documents instead.
+
+The key comes from the setting ``spark.sylvan.pii.key``.  Where it is not set a
+random one is drawn for the call and not kept, so nobody can undo or repeat the
+surrogates.
 
 Nulls: a null text stays null with 0 entities, an empty one stays empty.  Text
 outside entities is untouched, whatever its length.  Repeated rows are replaced
-alike.  Columns other than the text are kept; an empty table gives an empty
-result.
+alike.  Columns other than the text are kept, but one named like ``count_col``
+is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import in_batches, materialise
+from .storage import fresh, in_batches, materialise
 
-KEY = b"surrogates"
+#: The setting that holds the key.
+KEY = "spark.sylvan.pii.key"
 #: Rows of the table of further draws that may be sent to all tasks.
 MOST_SENT = 100_000
-#: Draws after which a name gets a number of its own.
+#: Draws after which a given name is made up.
 DRAWS = 6
-#: Draws after which its family name varies, and rounds of the check that may follow.
-FAMILY, SPARE = 12, 30
+#: Draws after which an initial is written out, and rounds of the check that may follow.
+WORD, SPARE = 12, 30
 
 # Titles with the gender they tell.
 MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Sir|господин"
@@ -54,6 +70,8 @@ NEUTRAL = "Dr|Prof|Doktor|Docteur|доктор"
 GIVEN_MALE = "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Peter Lukas Jonas Felix Hans Jürgen Klaus Pierre Louis Henri Jacques Luis Carlos Javier Diego Pablo Miguel Andrés Marco Luca Ivan".split()
 GIVEN_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Laura Julia Sophie Marie Claire Camille Ingrid Heike Sabine Monika Lucía Carmen Elena Isabel Marta Pilar Rosa Giulia Chiara Olga Irina".split()
 CYRILLIC_MALE = "Иван Пётр Сергей Андрей Алексей Дмитрий Николай Михаил Павел Виктор Олег Игорь".split()
+GIVEN_NEUTRAL = "Alex Robin Kim Sascha Dominique Charlie Sam Chris Toni Kay Jamie Morgan Taylor Jordan Casey Riley".split()
+CYRILLIC_NEUTRAL = "Саша Женя Валя Шура Слава Паша".split()
 CYRILLIC_FEMALE = "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана Юлия Вера Нина Дарья".split()
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -217,15 +235,14 @@ def _card(s: str, key: bytes) -> str:
 
 
 def _phone(s: str, key: bytes) -> str:
-    """The country code stays; area and exchange begin with 2 to 9 where they did."""
+    """The country code stays; area and exchange of ten digits begin with 2 to 9 where they did.  Grouping does not count."""
     m = re.match(r"\+\d{1,3}(?=[ .(-])", s)
     head = m[0] if m else ""
     rest = s[len(head) :]
-    groups = [len(g) for g in re.findall(r"\d+", rest)]
-    starts = [sum(groups[:i]) for i in range(len(groups) - 1)]
-    sound = lambda d: tuple(d[i] in "01" for i in starts)
     d = _digits(rest)
-    return head + _fill(rest, reshape(d, key, f"phone{head}{groups}", lambda x: sound(x) == sound(d)))
+    starts = (0, 3) if len(d) == 10 else (0,)
+    sound = lambda d: tuple(d[i] in "01" for i in starts)
+    return head + _fill(rest, reshape(d, key, "phone", lambda x: sound(x) == sound(d)))
 
 
 def _ssn(s: str, key: bytes) -> str:
@@ -279,65 +296,147 @@ def person_parts(name: str) -> list[str]:
     return re.split(r"[  ]", name)
 
 
-def _shape(word: str, like: str) -> str:
-    return word[0] + "." if like.endswith(".") else word.upper() if len(like) > 1 and like.isupper() else word
+_NAMES = {(False, "m"): GIVEN_MALE, (False, "f"): GIVEN_FEMALE, (False, ""): GIVEN_NEUTRAL, (True, "m"): CYRILLIC_MALE, (True, "f"): CYRILLIC_FEMALE, (True, ""): CYRILLIC_NEUTRAL}
+_GENDER = {w.lower(): g for (_, g), names in _NAMES.items() if g for w in names}
 
 
-def _person(name: str, gender: str, key: bytes, draw: int) -> str:
-    """Family name by its own hash, given names by theirs, so "Mr Smith" and "Mr John Smith" share theirs.
+def _cyrillic(word: str) -> bool:
+    return bool(re.search("[а-яё]", word, re.I))
 
-    Before the first draw given names come from a list; later draws vary them; a
-    name of one part varies itself.  From draw ``FAMILY`` on the family name varies
-    too, and is a word, as initials are too few to tell many people apart.
-    """
-    parts = person_parts(name)
-    cyrillic = bool(re.search("[а-яё]", name, re.I))
-    female = gender == "f" or not gender and bool(re.search("(?:ова|ева|ина|ая)$", name))
-    family = _made_up(_prf(key, "family", parts[-1].lower(), draw if len(parts) == 1 or draw >= FAMILY else 0) >> 8, cyrillic, female)
-    names = {(False, False): GIVEN_MALE, (False, True): GIVEN_FEMALE, (True, False): CYRILLIC_MALE, (True, True): CYRILLIC_FEMALE}[cyrillic, female]
-    out = []
-    for g in parts[:-1]:
-        h = _prf(key, "given", g.lower(), gender, draw)
-        pick = names[h % len(names)]
-        if pick.lower() == g.lower():
-            pick = names[(h + 1) % len(names)]
-        out.append(_shape(pick if draw < DRAWS else _made_up(h >> 8, cyrillic, False) + ("a" if female and not cyrillic else ""), g))
-    return " ".join([*out, family if draw >= FAMILY and parts[-1].endswith(".") else _shape(family, parts[-1])])
 
+def person_gender(name: str, title: str) -> str:
+    """m, f or nothing: as a given name tells, the ending of a Cyrillic family name, or else the title."""
+    *given, family = person_parts(name)
+    told = next((_GENDER[g.lower()] for g in given if g.lower() in _GENDER), "")
+    if not told and re.search("(?:ова|ева|ина|ая)$", family, re.I):
+        told = "f"
+    elif not told and re.search("(?:ов|ев|ин|ий|ый|ой)$", family, re.I):
+        told = "m"
+    return told or ("m" if title in MALE.split("|") else "f" if title in FEMALE.split("|") else "")
+
+
+def person_words(name: str, gender: str) -> list[tuple[str, str, str]]:
+    """(kind, word, gender) of each word of a name; a family name has a gender where its ending has."""
+    *given, family = person_parts(name.lower())
+    return [*(("given", g, gender) for g in given), ("family", family, gender if gender == "f" and _cyrillic(family) else "")]
+
+
+def _initial(word: str, key: bytes, draw: int) -> str:
+    alphabet = _ALPHABETS[2 if _cyrillic(word) else 1]
+    if draw == 0 and word[0] in alphabet:
+        at = next_in_cycle(alphabet.index(word[0]), len(alphabet), key, f"initial{alphabet[0]}")
+    else:
+        at = _prf(key, "initial", word, draw) % len(alphabet)
+    return alphabet[at].upper() + "."
 
-_BY_KIND = {"ip": _ip, "card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "email": _email, "secret": _secret, "credential": _secret}
 
+def _given(word: str, gender: str, key: bytes, draw: int) -> str:
+    """Before ``DRAWS`` from the list of the script and gender, then made up."""
+    if word.endswith(".") and draw < WORD:
+        return _initial(word, key, draw)
+    cyrillic = _cyrillic(word)
+    names = _NAMES[cyrillic, gender]
+    h = _prf(key, "given", word, gender, draw)
+    if draw >= DRAWS:
+        return _made_up(h >> 8, cyrillic, False).removesuffix("ов") + ("а" if cyrillic else "a") * (gender == "f")
+    pick = h % len(names)
+    return names[(pick + 1) % len(names)] if names[pick].lower() == word else names[pick]
 
-def _gender(title: str) -> str:
-    return "m" if title in MALE.split("|") else "f" if title in FEMALE.split("|") else ""
+
+def _family(word: str, gender: str, key: bytes, draw: int) -> str:
+    if word.endswith(".") and draw < WORD:
+        return _initial(word, key, draw)
+    return _made_up(_prf(key, "family", word, draw) >> 8, _cyrillic(word), gender == "f")
+
+
+_BY_KIND = {"ip": _ip, "card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "email": _email, "secret": _secret, "credential": _secret}
 
 
 @lru_cache(maxsize=50_000)
-def surrogate(kind: str, form: str, gender: str = "", draw: int = 0, key: bytes = KEY) -> str:
-    return _person(form, gender, key, draw) if kind == "person" else _BY_KIND[kind](form, key)
+def surrogate(kind: str, form: str, key: bytes, gender: str = "", draw: int = 0) -> str:
+    """Of an entity's form; of a word of a name, in lower case, for the kinds ``given`` and ``family``."""
+    if kind in ("given", "family"):
+        return (_given if kind == "given" else _family)(form, gender, key, draw)
+    return _BY_KIND[kind](form, key)
+
+
+def _mentions(text: str, persons: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, gender) of untitled mentions, outside ``taken``, of the titled persons: the family name as a word, with known given names ahead of it.
+
+    A family name that the text also has in lower case is a common word and is left alone.
+    """
+    families, given, genders = set(), set(), {}
+    for a, b, gender in persons:
+        *firsts, family = person_parts(text[a:b])
+        genders.setdefault(text[a:b].lower(), gender)
+        if not family.endswith(".") and len(family) > 1:
+            families.add(family)
+            given.update(firsts)
+    words = set(re.findall(r"\w[\w'’-]*", text)) if families else set()
+    families = {f for f in families if f.lower() not in words}
+    if not families:
+        return
+    spans = iter(sorted(taken))
+    now = next(spans, None)
+    start = last = None  # of known given names right before
+    for m in _NAME_WORD.finditer(text):
+        a, b = m.span()
+        while now and now[1] <= a:
+            now = next(spans, None)
+        if now and now[0] < b:
+            start = None
+            continue
+        if start is None or last + 1 != a or text[last] not in "  ":
+            start = a
+        last = b
+        if m[0] in families:
+            name = text[start:b].lower()
+            yield start, b, genders.get(name) or person_gender(text[start:b], "")
+            start = None
+        elif m[0] not in given:
+            start = None
 
 
-def canonical(kind: str, form: str) -> str:
-    """What two forms of one entity have in common."""
-    return form.lower() if kind in ("email", "person") else form if kind in ("secret", "credential", "ip") else re.sub(r"[ -]", "", form) if kind in ("card", "iban", "ssn") else form
+_NAME_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 
 
 def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """find() with the gender that a name's title tells."""
+    """(kind, start, end, gender) of each entity and mention, left to right; a gender only of persons."""
+    found = []
     for kind, a, b in find(text):
         gender = ""
         if kind == "person":
-            gender = _gender(re.search(rf"({_TITLE})\.?[  ]$", text[max(0, a - 20) : a])[1])
-        yield kind, a, b, gender
+            gender = person_gender(text[a:b], re.search(rf"({_TITLE})\.?[  ]$", text[max(0, a - 20) : a])[1])
+        found.append((kind, a, b, gender))
+    persons = [(a, b, g) for kind, a, b, g in found if kind == "person"]
+    if persons:
+        found += [("person", a, b, g) for a, b, g in _mentions(text, persons, [(a, b) for _, a, b, _ in found])]
+        found.sort(key=lambda e: e[1])
+    yield from found
+
+
+Table = dict[tuple[str, str, str], str | int]
+
 
+def _person(name: str, gender: str, key: bytes, table: Table) -> str:
+    gender = table.get(("person", name.lower(), gender), gender)
+    out = re.split("([  ])", name)
+    for i, (kind, word, g) in enumerate(person_words(name, gender)):
+        new, like = surrogate(kind, word, key, g, table.get((kind, word, g), 0)), out[2 * i]
+        out[2 * i] = new.upper() if len(like) > 2 and like.isupper() else new
+    return "".join(out)
 
-def replace(text: str, draws: dict[tuple[str, str, str], int] | None = None, key: bytes = KEY) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds of its entities."""
+
+def replace(text: str, key: bytes, table: Table | None = None) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds of its entities.
+
+    ``table`` has the draw of each word of a name that needs another than the
+    first, and the gender of each person whose title and name tell none.
+    """
     out, at, kinds = [], 0, []
     for kind, a, b, gender in entities(text):
         form = text[a:b]
-        draw = (draws or {}).get((kind, canonical(kind, form), gender), 0)
-        out += [text[at:a], surrogate(kind, form, gender, draw, key)]
+        out += [text[at:a], _person(form, gender, key, table or {}) if kind == "person" else surrogate(kind, form, key)]
         at = b
         kinds.append(kind)
     return "".join([*out, text[at:]]) if kinds else text, kinds
@@ -346,36 +445,48 @@ def replace(text: str, draws: dict[tuple[str, str, str], int] | None = None, key
 ENTITY = "kind string, form string, gender string"
 
 
+def _rows(found, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names)
+
+
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        seen = {(kind, canonical(kind, t[a:e]), gender) for t in b.column(0).to_pylist() if t and _TITLED.search(t) for kind, a, e, gender in entities(t) if kind == "person"}
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(seen), strict=True)], ["kind", "form", "gender"])
+        seen = {(t[a:e].lower(), gender) for t in b.column(0).to_pylist() if t and _TITLED.search(t) for kind, a, e, gender in entities(t) if kind == "person"}
+        yield _rows(sorted(seen), ["form", "gender"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen = {w for form, gender in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in person_words(form, gender)}
+        yield _rows(sorted(seen), ["kind", "form", "gender"])
 
 
 def _assign(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            made = [canonical(r["kind"], surrogate(r["kind"], r["form"].title(), r["gender"], r["draw"], key)) for r in rows]
+            made = [surrogate(r["kind"], r["form"], key, r["gender"], r["draw"]).lower() for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "form", "gender", "draw", "made"])
 
     return run
 
 
-def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rounds: int = FAMILY + SPARE) -> DataFrame:
-    """(kind, form, gender, draw) of the entities that need another draw than the first.
+def name_table(docs: DataFrame, key: bytes, text_col: str = "text", rounds: int = WORD + SPARE) -> DataFrame:
+    """(kind, form, gender, draw, told): words of names that need another draw than the first, and persons whose gender another title tells.
 
     Only names are drawn; all other surrogates are permutations and cannot collide.
     """
-    found = materialise(in_batches(docs.select(F.col(text_col).cast("string").alias("text")), _detect, ENTITY).distinct(), "entities")
+    persons = materialise(in_batches(docs.select(F.col(text_col).cast("string").alias("text")), _detect, "form string, gender string").distinct(), "persons")
+    one = persons.where("gender <> ''").groupBy("form").agg(F.min("gender").alias("told"), F.max("gender").alias("other")).where("told = other").select("form", "told")
+    told = persons.where("gender = ''").join(one, "form").select("form", "told")
+    whole = persons.join(told, "form", "left").select("form", F.when(F.col("gender") == "", F.coalesce("told", F.lit(""))).otherwise(F.col("gender")).alias("gender"))
+    found = materialise(in_batches(whole, _words, ENTITY).distinct(), "words")
+    real = found.where("kind = 'family'").select("kind", F.col("form").alias("made")).distinct().withColumn("real", F.lit(True))
     now = found.withColumn("draw", F.lit(0))
-    forms = found.select(F.col("form").alias("made")).distinct().withColumn("real", F.lit(True))
     for _ in range(rounds):
         made = materialise(in_batches(now, _assign(key), f"{ENTITY}, draw int, made string"), "draws")
-        first = made.groupBy("made").agg(F.min(F.struct("draw", "form", "gender")).alias("keeper"), F.count("*").alias("n"))
-        again = made.join(first, "made").join(forms, "made", "left")
-        clash = F.col("real").isNotNull() | ((F.col("n") > 1) & (F.struct("draw", "form", "gender") != F.col("keeper")))
+        first = made.groupBy("kind", "made").agg(F.min(F.struct("draw", "form", "gender")).alias("keeper"))
+        again = made.join(first, ["kind", "made"]).join(real, ["kind", "made"], "left")
+        clash = F.col("real").isNotNull() | (F.struct("draw", "form", "gender") != F.col("keeper"))
         now = again.select("kind", "form", "gender", (F.col("draw") + F.when(clash, 1).otherwise(0)).cast("int").alias("draw"), clash.alias("clash"))
         now = materialise(now, "draws")
         if not now.where("clash").take(1):
@@ -383,46 +494,60 @@ def further_draws(docs: DataFrame, text_col: str = "text", key: bytes = KEY, rou
         now = now.drop("clash")
     else:
         raise RuntimeError(f"names still share a surrogate after {rounds} rounds of draws")
-    return now.select("kind", "form", "gender", "draw").where("draw > 0")
+    draws = now.where("draw > 0").select("kind", "form", "gender", "draw", F.lit(None).cast("string").alias("told"))
+    return draws.unionByName(told.select(F.lit("person").alias("kind"), "form", F.lit("").alias("gender"), F.lit(0).alias("draw"), "told"))
+
 
+def configured_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting holds, or a random one."""
+    held = spark.conf.get(KEY, None)
+    return held.encode() if held else secrets.token_bytes(32)
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, count_col: str | None = None) -> DataFrame:
+
+def _table(rows) -> Table:
+    return {(r["kind"], r["form"], r["gender"]): r["told"] or r["draw"] for r in rows}
+
+
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes | None = None, count_col: str | None = None) -> DataFrame:
     """``docs`` with its texts' entities replaced, and their number if a column for it is named."""
-    draws = further_draws(docs, text_col, key)
-    got = draws.limit(MOST_SENT + 1).collect()
+    key = key or configured_key(docs.sparkSession)
     if count_col:
         docs = docs.drop(count_col)
+    found = materialise(name_table(docs, key, text_col), "names")
+    got = found.limit(MOST_SENT + 1).collect()
     kept = list(docs.columns)
     at = kept.index(text_col)
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
     schema = T.StructType(fields + ([T.StructField(count_col, T.LongType())] if count_col else []))
-    own = None
-    if len(got) > MOST_SENT:
+    text = F.col(f"`{text_col}`").cast("string")
+    joined = len(got) > MOST_SENT
+    if joined:
+
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), kind, canonical(kind, t[a:e]), gender) for t in b.column(0).to_pylist() if t for kind, a, e, gender in entities(t) if kind == "person"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["h", "kind", "form", "gender"])
-
-        own = in_batches(docs.select(F.col(text_col).cast("string")), hits, f"h string, {ENTITY}").distinct().join(draws, ["kind", "form", "gender"]).groupBy("h").agg(F.collect_list(F.struct("kind", "form", "gender", "draw")).alias("_draws"))
-        digest = F.udf(lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), "string")
-        docs = docs.withColumn("_h", digest(F.col(text_col))).join(own, F.col("_h") == F.col("h"), "left").drop("_h", "h")
-    joined = own is not None
-    table = {} if joined else {(r["kind"], r["form"], r["gender"]): r["draw"] for r in got}
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    if not joined:
-        docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+                rows = set()
+                for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for kind, a, e, gender in entities(t) if t else ():
+                        if kind == "person":
+                            may = {gender} if gender else {"", "m", "f"}
+                            rows |= {(h, "person", t[a:e].lower(), gender)} | {(h, *w) for g in may for w in person_words(t[a:e], g)}
+                yield _rows(sorted(rows), ["h", "kind", "form", "gender"])
+
+        own_h, own_rows = fresh(docs, "_h", "_rows")
+        digest = F.sha2(text, 256)
+        own = in_batches(docs.select(digest.alias("h"), text.alias("text")), hits, f"h string, {ENTITY}").distinct().join(found, ["kind", "form", "gender"])
+        own = own.groupBy(F.col("h").alias(own_h)).agg(F.collect_list(F.struct("kind", "form", "gender", "draw", "told")).alias(own_rows))
+        docs = docs.join(own, digest == F.col(own_h), "left").drop(own_h)
+    docs = docs.withColumn(text_col, text)
+    sent = docs.sparkSession.sparkContext.broadcast({} if joined else _table(got))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             extra = b.column(len(kept)).to_pylist() if joined else [None] * len(texts)
-            out, n = [], []
-            for t, x in zip(texts, extra, strict=True):
-                new, kinds = replace(t, {(r["kind"], r["form"], r["gender"]): r["draw"] for r in x} if x else sent.value, key) if t else (t, [])
-                out.append(new)
-                n.append(len(kinds))
+            done = [replace(t, key, _table(x) if x else sent.value) if t else (t, []) for t, x in zip(texts, extra, strict=True)]
             columns = list(b.columns[: len(kept)])
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(n, pa.int64())] if count_col else [])], schema.fieldNames())
+            columns[at] = pa.array([t for t, _ in done], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array([len(k) for _, k in done], pa.int64())] if count_col else [])], schema.fieldNames())
 
     return in_batches(docs, run, schema)

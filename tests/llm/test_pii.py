@@ -7,6 +7,8 @@ import pytest
 
 from sylvan.llm import pii
 
+K = b"a key of the tests"
+
 CASES = {
     "email": ["dikcoc.41@mail7.example.com", "Foo.Bar+x@Sub.Example.org", "a@b.co"],
     "ip": ["39.197.112.39", "10.0.0.7", "192.168.1.1", "127.0.0.1"],
@@ -26,7 +28,7 @@ def only(text):
 def test_found_and_of_the_same_form(kind):
     for s in CASES[kind]:
         assert only(f"word {s} word, {s}.") == [(kind, s)] * 2
-        new = pii.surrogate(kind, s)
+        new = pii.surrogate(kind, s, K)
         assert new != s and len(new) == len(s) or kind == "ip"
         assert only(f"word {new} word") == [(kind, new)]
         shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", t)))
@@ -35,10 +37,10 @@ def test_found_and_of_the_same_form(kind):
 
 
 def test_checks_stay_valid():
-    assert pii._luhn(pii._digits(pii.surrogate("card", "4111 1111 1111 1111")))
-    assert not pii._luhn(pii._digits(pii.surrogate("card", "4041894974608790")) ) == (not pii._luhn("4041894974608790"))
-    assert pii._iban_ok(pii.surrogate("iban", "DE89370400440532013000"))
-    assert pii.surrogate("ip", "10.1.2.3").startswith("10.") and pii.surrogate("ip", "192.168.4.5").startswith("192.168.")
+    assert pii._luhn(pii._digits(pii.surrogate("card", "4111 1111 1111 1111", K)))
+    assert not pii._luhn(pii._digits(pii.surrogate("card", "4041894974608790", K)) ) == (not pii._luhn("4041894974608790"))
+    assert pii._iban_ok(pii.surrogate("iban", "DE89370400440532013000", K))
+    assert pii.surrogate("ip", "10.1.2.3", K).startswith("10.") and pii.surrogate("ip", "192.168.4.5", K).startswith("192.168.")
 
 
 def test_permutations():
@@ -57,12 +59,12 @@ def test_permutations():
 def test_distinct_phones_stay_distinct():
     r = random.Random(1)
     numbers = {f"+1 ({r.randrange(200, 1000)}) 555-{r.randrange(10000):04d}" for _ in range(3000)}
-    assert len({pii.surrogate("phone", s) for s in numbers}) == len(numbers)
+    assert len({pii.surrogate("phone", s, K) for s in numbers}) == len(numbers)
 
 
 def test_credentials():
     t = 'x password=7602ad27cf5550de1c st token = "0641917ea4e9feb9cda83477b57ac2654884f485" y, password: required.'
-    new, kinds = pii.replace(t)
+    new, kinds = pii.replace(t, K)
     assert kinds == ["credential", "credential"]
     assert re.fullmatch(r'x password=[0-9a-f]{18} st token = "[0-9a-f]{40}" y, password: required\.', new)
     assert "7602ad27cf5550de1c" not in new
@@ -70,7 +72,7 @@ def test_credentials():
 
 def test_names():
     t = "Mrs. Mary Smith met Mr Smith and Frau Ingrid Müller; Mrs Mary Smith left. Dr K. Jones too. господин Иван Петров"
-    new, kinds = pii.replace(t)
+    new, kinds = pii.replace(t, K)
     assert kinds == ["person"] * 6
     m = re.match(r"Mrs\. (\w+) (\w+) met Mr (\w+) and Frau (\w+) (\w+); Mrs (\w+) (\w+) left\. Dr (\w)\. (\w+) too\. господин (\w+) (\w+)$", new)
     assert m and m[1] in pii.GIVEN_FEMALE and m[4] in pii.GIVEN_FEMALE and m[10] in pii.CYRILLIC_MALE
@@ -79,44 +81,110 @@ def test_names():
 
 def test_clean_text_is_untouched():
     for t in ("", "In 2023, 5 of 12 versions 1.2.3 cost $3,000.50.", "Licensed under CC BY-NC 4.0.", "a @ b", "call 911", "10:30 on 12/05/2020", "the Mr and the password", "é" * 1000):
-        assert pii.replace(t) == (t, [])
+        assert pii.replace(t, K) == (t, [])
+
+
+def pseudonyms(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r.text for r in pii.pseudonymise(df, key=K).orderBy("doc_id").collect()]
+
+
+def test_one_person_across_titles_and_texts(spark):
+    texts = ["Dr. Mary Smith", "Mrs. Mary Smith", "Dr. John Smith", "Mr. John Smith", "Prof. Julia Weber", "Mrs Xena Foo", "Dr Xena Foo", "Dr Kai Bar", "Mr Smith met Mrs Smith", "доктор Анна Петрова", "Dr. Mary Smith came. Smith and Mary Smith left, Mary stayed."]
+    out = pseudonyms(spark, texts)
+    names = [t.split(maxsplit=1)[1] for t in out[:8]]
+    assert names[0] == names[1] and names[2] == names[3] and names[5] == names[6]
+    assert names[0].split()[0] in pii.GIVEN_FEMALE and names[2].split()[0] in pii.GIVEN_MALE and names[4].split()[0] in pii.GIVEN_FEMALE
+    assert names[5].split()[0] in pii.GIVEN_FEMALE and names[7].split()[0] in pii.GIVEN_NEUTRAL
+    first, family = names[0].split()
+    assert names[2].split()[1] == family and out[8] == f"Mr {family} met Mrs {family}"
+    assert out[9].split()[1] in pii.CYRILLIC_FEMALE and out[9].endswith("ова")
+    assert out[10] == f"Dr. {first} {family} came. {family} and {first} {family} left, Mary stayed."
+
+
+def test_common_words_are_no_mentions():
+    new, kinds = pii.replace("Mr Young is young. Young people.", K)
+    assert kinds == ["person"] and new.endswith("is young. Young people.")
+
+
+def test_a_number_in_any_grouping():
+    forms = ["+1 555 123 4567", "555-123-4567", "(555) 123-4567", "+1 (555) 123-4567"]
+    made = [pii.surrogate("phone", s, K) for s in forms]
+    assert len({re.sub(r"\D", "", m)[-10:] for m in made}) == 1 and made[0].startswith("+1 ") and "5551234567" not in re.sub(r"\D", "", made[1])
 
 
 def test_collisions_are_drawn_again(spark):
     names = [a + b + c for a in "ABCDEFGH" for b in "aeio" for c in ("nk", "lm", "rt")]  # more than there are to draw from
-    rows = [(i, f"Mr {n} Smith said") for i, n in enumerate(names)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    draws = {(r.kind, r.form, r.gender): r.draw for r in pii.further_draws(df).collect()}
-    made = {pii.replace(t, draws)[0] for _, t in rows}
-    assert draws and len(made) == len(names) and not made & {t for _, t in rows}
-    assert {r.text for r in pii.pseudonymise(df).collect()} == made
-
-
-ODD = [(1, None, 1), (2, "", 2), (3, "x " * 50_000 + "39.197.112.39", 3), (4, "no data", 4), (4, "no data", 4), (5, "Mr John Smith, a@b.org", 5)]
-
-
-@pytest.mark.parametrize("most", [100_000, -1])
-def test_table(spark, monkeypatch, most):
-    monkeypatch.setattr(pii, "MOST_SENT", most)
-    df = spark.createDataFrame(ODD, "doc_id long, text string, kind long")
-    got = {(r.doc_id, r.kind): r for r in pii.pseudonymise(df, count_col="n_entities").collect()}
-    assert pii.pseudonymise(df).columns == df.columns and pii.pseudonymise(df).count() == len(ODD)
-    assert got[1, 1].text is None and got[2, 2].text == "" and got[4, 4].text == "no data"
-    assert [got[i, i].n_entities for i in (1, 2, 3, 4, 5)] == [0, 0, 1, 0, 2]
-    assert got[3, 3].text.startswith("x x") and not got[3, 3].text.endswith("39.197.112.39")
+    texts = [f"Mr {n} Smith said" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = pii._table(pii.name_table(df, K).collect())
+    made = [pii.replace(t, K, table)[0] for t in texts]
+    assert table and len(set(made)) == len(names) and not set(made) & set(texts)
+    assert pseudonyms(spark, texts) == made
+
+
+def brute(texts):
+    """Pairs of original and replaced names, by aligning the texts word for word."""
+    pairs = set()
+    for before, after in texts:
+        a, b = before.split(), after.split()
+        assert len(a) == len(b)
+        pairs |= {(x, y) for x, y in zip(a, b, strict=True) if x != y}
+    return pairs
+
+
+def test_words_map_one_to_one(spark):
+    """Every word of a name has one surrogate and no two share one, over a corpus of many names."""
+    r = random.Random(5)
+    families = [r.choice("BCDFGKLM") + "".join(r.choices("aeiounrst", k=5)) for _ in range(300)]
+    given = pii.GIVEN_MALE + [r.choice("BCDFGKLM") + "".join(r.choices("aeiounrst", k=4)) for _ in range(150)]
+    texts = [f"Mr {r.choice(given)} {r.choice(families)} here" for _ in range(1500)]
+    out = pseudonyms(spark, texts)
+    pairs = brute(zip(texts, out, strict=True))
+    assert len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+    assert not {y.split()[-2] for y in out} & set(families) and len(set(out)) == len(set(texts))
+
+
+ODD = [(1, None, 1), (2, "", 2), (3, "x " * 50_000 + "39.197.112.39", 3), (4, "no data", 4), (4, "no data", 4), (5, "Mr John Smith, a@b.org; Dr Xu Smith", 5), (6, "Mrs Xu Smith", 6), (6, "Mr Anna Bo", 7)]
+
+
+def test_table(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, "h") for r in ODD], "doc_id long, text string, kind long, _h string")
+    seen = []
+    for most in (100_000, -1):
+        monkeypatch.setattr(pii, "MOST_SENT", most)
+        out = pii.pseudonymise(df, key=K, count_col="n_entities").collect()
+        got = {(r.doc_id, r.kind): r for r in out}
+        assert len(out) == len(ODD) and got[1, 1].text is None and got[2, 2].text == "" and got[4, 4].text == "no data"
+        assert [got[i, i].n_entities for i in (1, 2, 3, 4, 5)] == [0, 0, 1, 0, 3] and got[1, 1]._h == "h"
+        assert got[3, 3].text.startswith("x x") and not got[3, 3].text.endswith("39.197.112.39")
+        assert got[5, 5].text.split("Dr ")[1] == got[6, 6].text.removeprefix("Mrs ")
+        seen.append({k: r.text for k, r in got.items()})
+    assert seen[0] == seen[1]
+    assert pii.pseudonymise(df).columns == df.columns
     assert pii.pseudonymise(df.limit(0)).collect() == []
 
 
+def test_the_key(spark):
+    df = spark.createDataFrame([(1, "mail a.person@mail.example.org")], "doc_id long, text string")
+    once, twice = (pii.pseudonymise(df).first().text for _ in range(2))
+    assert once != twice  # no key is set, so each call has its own
+    spark.conf.set(pii.KEY, "k")
+    try:
+        assert pii.pseudonymise(df).first().text == pii.replace("mail a.person@mail.example.org", b"k")[0]
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
 def test_initials_stay_distinct(spark):
     """More people of a family, and bare initials, than there are initials to draw."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    rows = [(i, f"{t} said") for i, t in enumerate([f"Mr {c}. Smith" for c in letters] + [f"Dr {c}." for c in letters] + [f"Mrs {c}. {e}." for c in letters for e in letters])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    made = [r.text for r in pii.pseudonymise(df).collect()]
-    assert len(set(made)) == len(rows) and not set(made) & {t for _, t in rows}
+    texts = [f"{t} said" for t in [f"Mr {c}. Smith" for c in letters] + [f"Dr {c}." for c in letters] + [f"Mrs {c}. {e}." for c in letters for e in letters]]
+    made = pseudonyms(spark, texts)
+    assert len(set(made)) == len(texts) and not set(made) & set(texts)
 
 
 def test_clashes_that_stay_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate", lambda *_: "Same Name")
+    monkeypatch.setattr(pii, "surrogate", lambda *_: "Same")
     with pytest.raises(RuntimeError, match="share a surrogate"):
-        pii.further_draws(spark.createDataFrame([(1, "Mr A. Smith, Mr B. Smith")], "doc_id long, text string"), rounds=2).collect()
+        pii.name_table(spark.createDataFrame([(1, "Mr A. Smith, Mr B. Smith")], "doc_id long, text string"), K, rounds=2).collect()
