@@ -91,7 +91,7 @@ _PATTERNS = {
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every entity has a digit, "@", a title, a key word or a fixed start.
 _MAY = re.compile(rf"\d|@|(?i:passw|pwd|passphrase|secret|token|api.?key|access.?key)|sk-|xox|gh[pousr]_|(?<!\w)(?:{_TITLE})\.?[  ]")
-_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.?[  ]")
+_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.?[  ]")
 
 
 def _luhn(digits: str) -> bool:
@@ -386,7 +386,7 @@ def _mentions(text: str, persons: list[tuple[int, int, str]], taken: list[tuple[
         if now and now[0] < b:
             start = None
             continue
-        if start is None or last + 1 != a or text[last] not in "  ":
+        if start is None or last + 1 != a or text[last] not in " \u00a0":
             start = a
         last = b
         if m[0] in families:
@@ -406,7 +406,7 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
     for kind, a, b in find(text):
         gender = ""
         if kind == "person":
-            gender = person_gender(text[a:b], re.search(rf"({_TITLE})\.?[  ]$", text[max(0, a - 20) : a])[1])
+            gender = person_gender(text[a:b], re.search(rf"({_TITLE})\.?[  ]$", text[max(0, a - 20) : a])[1])
         found.append((kind, a, b, gender))
     persons = [(a, b, g) for kind, a, b, g in found if kind == "person"]
     if persons:
@@ -420,7 +420,7 @@ Table = dict[tuple[str, str, str], str | int]
 
 def _person(name: str, gender: str, key: bytes, table: Table) -> str:
     gender = table.get(("person", name.lower(), gender), gender)
-    out = re.split("([  ])", name)
+    out = re.split("([ \u00a0])", name)
     for i, (kind, word, g) in enumerate(person_words(name, gender)):
         new, like = surrogate(kind, word, key, g, table.get((kind, word, g), 0)), out[2 * i]
         out[2 * i] = new.upper() if len(like) > 2 and like.isupper() else new
