@@ -158,3 +158,66 @@ def test_own_archives_lose_the_damaged_record_alone(spark, tmp_path):
     data[len(data) // 2] ^= 0x55
     assert len(read(bytes(data))[0]) >= 49
     assert gzip.decompress(b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))).count(b"WARC/1.1\r\n") == 50
+
+
+def record(payload, *headers, length=None):
+    head = b"".join(b"%s\r\n" % h for h in headers)
+    return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:9>\r\n%sContent-Length: %s\r\n\r\n%s\r\n\r\n" % (head, b"%d" % len(payload) if length is None else length, payload)
+
+
+def test_headers_of_other_writers():
+    body = b"abc"
+    sha1, sha256 = hashlib.sha1(body), hashlib.sha256(body)
+    good = [
+        b"WARC-Block-Digest: sha1:" + sha1.hexdigest().encode(),
+        b"WARC-Block-Digest: SHA-256:" + sha256.hexdigest().encode(),
+        b"WARC-Block-Digest: sha256:" + base64.b32encode(sha256.digest()),
+        b"WARC-Block-Digest: sha1:" + base64.b32encode(sha1.digest()).lower(),
+        b"WARC-Block-Digest: blake3:00",
+        b"X-Note: one\r\n two\r\n\tthree",
+        b"X-Note: one\r\nX-Note: two",
+    ]
+    for h in good:
+        assert read(record(body, h)) == (ids(9), []), h
+    for h in (b"WARC-Block-Digest: md5:00", b"no colon"):
+        assert read(record(body, h))[0] == []
+
+
+def test_no_header_stops_the_reader():
+    good = archive(2)
+    for n in (b"9" * 5000, b"99999999999999999999", b"-1", b"", b"1e3", "٣".encode()):
+        got, gaps = read(good[0] + record(b"abc", length=n) + good[1])
+        assert got == ids(0, 1) and len(gaps) == 1
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\nx"
+    assert read(record(http, b"Content-Type: application/http"))[0] == ids(9)
+
+
+def test_fuzzed_headers():
+    r = random.Random(8)
+    parts = archive()
+    for _ in range(300):
+        bad = bytearray(parts[2])
+        end = bad.index(b"\r\n\r\n") + 4
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(end)
+            bad[at : at + r.randrange(3)] = bytes(r.choices(b"\r\n\t :;0123456789sha\xff\x00WARC/", k=r.randrange(4)))
+        got, _ = read(b"".join([*parts[:2], bytes(bad), *parts[3:]]))
+        assert set(ids(0, 1, 3, 4, 5)) <= set(got)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    from sylvan.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    write_archives(frame(spark, [(i, None, f"{i} " + "y" * 20_000) for i in range(30)]).coalesce(1), f"file://{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 6
+
+
+def test_own_archives_with_a_gap_are_an_error(spark, monkeypatch):
+    import pytest
+
+    from sylvan.llm import warc
+
+    monkeypatch.setattr(warc, "_members", lambda batches: (b.slice(0, 0) if False else __import__("pyarrow").RecordBatch.from_arrays([__import__("pyarrow").array([gzip.compress(b"junk")] * len(b))], ["record"]) for b in batches))
+    with pytest.raises(RuntimeError, match="read back"):
+        write_and_read_back(frame(spark, PAGES[3:5])).collect()
