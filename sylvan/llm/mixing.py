@@ -2,16 +2,20 @@
 
 Every source gets a target number of words: its weight's share of the budget,
 but no more than ``cap`` times its own words, the excess going to the others by
-weight until none is above.  Each document of a source is due ``target /
-source_size`` copies: the whole part is allocated outright; the fraction is its
-inclusion probability p.  For the fraction documents are ranked by their random
-odds divided by their inclusion odds, ``(u / (1 - u)) / (p / (1 - p))`` with u
-from a keyed hash of the id, and taken in that order up to the rest of the
-source's target, to the nearest document.
+weight until none is above.  Every document of a source gets the whole part of
+``target / source_size`` copies outright.  For what then is left of the target
+documents are ranked by their random odds divided by their inclusion odds and
+taken in that order, to the nearest document: a Pareto sample of fixed size.  The
+random odds are ``u / (1 - u)`` with u from a keyed hash of the id; the inclusion
+odds are proportional to the square root of the document's size over the
+source's mean size, between 1 / ``SPREAD`` and ``SPREAD``, so longer documents
+are likelier to be in.  (The factor that all documents of a source share would
+not change their order and is left out.)
 
 A source may hold any part of the rows: its documents are dealt into buckets of
-about ``BUCKET`` along the ranking, whose sums alone are added up per source;
-only within the bucket where the target falls does a document's own rank count.
+about ``BUCKET`` along the ranking, at most ``SPREAD`` times that, whose sums
+alone are added up per source; only within the bucket where the target falls
+does a document's own rank count.
 
 Nulls: a null text has size 0; null sources form one source, which comes last;
 a null id is hashed as the empty text.  Empty documents are taken 0 words.
@@ -29,6 +33,8 @@ from .storage import materialise
 
 #: Documents in a bucket of a source's ranking, about.
 BUCKET = 1000
+#: Most and least inclusion odds against the source's mean document.
+SPREAD = 4.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,49 +69,53 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, size, source_size, target, taken) for each row; taken counts repeats."""
-    sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+def rank(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """``sized`` with its source's ``plan``, whole copies, rest of the target, its ``q`` in the ranking and the bucket of it."""
     plan = (
-        targets(sized, weights, share, cap)
-        .withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .withColumn("whole", F.floor("due"))
-        .withColumn("p", F.col("due") - F.col("whole"))
+        plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumnRenamed("source", "of")
     )
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    ranked = (
+    odds = F.when(F.col("source_size") > 0, F.least(F.greatest(F.sqrt(F.col("size") / (F.col("source_size") / F.col("n"))), F.lit(1 / SPREAD)), F.lit(SPREAD))).otherwise(F.lit(1.0))
+    return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("u", u)
-        .withColumn("q", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))).otherwise(F.lit(float("inf"))))
+        .withColumn("q", F.col("u") / (1 - F.col("u")) / odds)
         .withColumn("buckets", F.ceil(F.col("n") / F.lit(float(BUCKET))))
-        .withColumn("bucket", F.when(F.col("p") > 0, F.least(F.col("buckets") - 1, F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets")))).otherwise(F.col("buckets") - 1))
+        .withColumn("bucket", F.least(F.col("buckets") - 1, F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets"))))
     )
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, size, source_size, target, taken) for each row; taken counts repeats."""
+    sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+    ranked = rank(sized, targets(sized, weights, share, cap), seed)
     along = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranked.groupBy("of", "bucket").agg(F.sum("size").alias("in_bucket")).select(F.col("of").alias("of2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("in_bucket").over(along), F.lit(0)).alias("start"))
     within = Window.partitionBy("of2", "bucket2").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.col("start") + F.sum("size").over(within)
     return (
         ranked.join(starts, F.col("of").eqNullSafe(F.col("of2")) & (F.col("bucket") == F.col("bucket2")))
-        .withColumn("more", ((F.col("p") > 0) & (reached - F.col("size") / F.lit(2.0) <= F.col("rest"))).cast("long"))
+        .withColumn("more", ((F.col("rest") > 0) & (reached - F.col("size") / F.lit(2.0) <= F.col("rest"))).cast("long"))
         .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"))
     )
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r FROM d GROUP BY source),
-w AS (SELECT source, source_size, CASE (r - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS most FROM s),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, count(*)::DOUBLE AS m, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT source, source_size, m, CASE (r - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER b, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0::DOUBLE)) AS lev
       FROM w WINDOW b AS (ORDER BY most / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, max(lev) OVER () * w) AS target FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS due FROM t),
-q AS (SELECT d.doc_id, d.size, p.source, p.source_size, p.target, floor(due) AS whole, due - floor(due) AS f, target - floor(due) * source_size AS rest,
+t AS (SELECT source, source_size, m, least(most, max(lev) OVER () * w) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0.0::DOUBLE END AS whole FROM t),
+q AS (SELECT d.doc_id, d.size, p.source, p.source_size, p.target, whole, target - whole * source_size AS rest,
+        CASE WHEN source_size > 0 THEN least(greatest(sqrt(d.size::DOUBLE / (source_size / m)), 0.25::DOUBLE), 4.0::DOUBLE) ELSE 1.0::DOUBLE END AS odds,
         (CAST('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-o AS (SELECT *, CASE WHEN f > 0 THEN (u / (1.0::DOUBLE - u)) / (f / (1.0::DOUBLE - f)) ELSE 1e300::DOUBLE END AS rank FROM q)
+o AS (SELECT *, u / (1.0::DOUBLE - u) / odds AS rank FROM q)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-  (size * (whole + CASE WHEN f > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN rest > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM o
 """

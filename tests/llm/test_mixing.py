@@ -66,3 +66,23 @@ def test_empty(docs):
     df, _ = docs
     assert mixing.mix_sources(df.limit(0)).collect() == []
     assert {r.taken for r in mixing.mix_sources(df.where("text is null")).collect()} == {0}
+
+
+def test_longer_documents_are_likelier_to_be_in(spark):
+    """Of two lengths in one source the longer is in by its odds, and the target is met all the same."""
+    rows = [(i, "w " * (4 if i % 2 else 36), "a") for i in range(20_000)] + [(-i, "w " * 40, "b") for i in range(1, 20_001)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 3.0), share=0.7)
+    own = [r for r in got.collect() if r.doc_id >= 0]
+    share = {n: sum(r.taken > 0 for r in own if r.size == n) / 10_000 for n in (4, 36)}
+    odds = {n: p / (1 - p) for n, p in share.items()}
+    assert odds[36] / odds[4] == pytest.approx(3.0, rel=0.1)  # square root of nine times the length
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 18
+
+
+def test_buckets_of_a_large_capped_source_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    sized = spark.range(300_000).select("id", F.lit("hot").alias("source"), (F.col("id") % 50).alias("size"))
+    plan = spark.createDataFrame([("hot", 7_350_000, 300_000, 14_700_000.0)], "source string, source_size long, n long, target double")
+    most = mixing.rank(sized, plan, "s").groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most <= mixing.SPREAD * mixing.BUCKET * 1.2
