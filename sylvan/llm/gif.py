@@ -35,6 +35,8 @@ from .storage import in_batches, materialise
 WIDTH, ROWS = 64, 4096
 #: Milliseconds that a payload frame is shown.
 DELAY_MS = 100
+#: Pixels of a canvas or frame that is rendered, at most.
+PIXELS = 1 << 25
 _MAX = 4096
 
 
@@ -209,7 +211,14 @@ class Frame:
 
 
 def frames(gif: bytes) -> Iterator[Frame]:
-    """Rendered frames of a GIF, in order; ValueError if it is not one."""
+    """Rendered frames of a GIF, in order; ValueError if it is not one, breaks off within a block or is of more than ``PIXELS``."""
+    try:
+        yield from _frames(gif)
+    except (struct.error, IndexError) as why:
+        raise ValueError(f"broken off: {why}") from why
+
+
+def _frames(gif: bytes) -> Iterator[Frame]:
     if gif[:6] not in (b"GIF87a", b"GIF89a") or len(gif) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", gif, 6)
@@ -219,6 +228,8 @@ def frames(gif: bytes) -> Iterator[Frame]:
         n = 2 << (flags & 7)
         palette = np.frombuffer(gif, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > PIXELS:
+        raise ValueError(f"{width} by {height} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, dispose, clear_index = 0, 0, None
 
@@ -248,6 +259,8 @@ def frames(gif: bytes) -> Iterator[Frame]:
             at += 3 * n
         if colours is None:
             raise ValueError("no palette")
+        if w * h > PIXELS:
+            raise ValueError(f"a frame of {w} by {h} pixels")
         stream, end = sub_blocks(at + 1)
         samples = np.zeros(w * h, np.uint8)
         found = np.frombuffer(lzw_decode(stream, gif[at], w * h), np.uint8)
@@ -289,22 +302,31 @@ def decode_samples(gif: bytes) -> tuple[bytes, np.ndarray, int, int]:
     return b"".join(parts), bins, n, ms
 
 
-FRAME_SCHEMA = "frame int, delay_ms int, width int, height int, rgba binary, histogram array<long>"
+FRAME_SCHEMA = "frame int, delay_ms int, width int, height int, rgba binary, histogram array<long>, error string"
 
 
 def decode_frames(media: DataFrame, gif_col: str = "gif", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a frame of each GIF: its number, delay, size, pixels and 64-colour histogram; a null gives none."""
+    """One row a frame of each GIF: its number, delay, size, pixels and 64-colour histogram; a null gives none.
+
+    A GIF that can't be read, or not to its end, has a last row with the error alone.
+    """
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in media.select(*keep).schema)
+    names = [f.split()[0] for f in FRAME_SCHEMA.split(", ")]
+    kinds = [*[pa.int32()] * 4, pa.binary(), pa.list_(pa.int64()), pa.string()]
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        try:
+            for k, f in enumerate(frames(data)):
+                yield k, f.delay_ms, f.pixels.shape[1], f.pixels.shape[0], f.pixels.tobytes(), f.histogram().tolist(), None
+        except ValueError as why:
+            yield *[None] * 6, str(why)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, x in enumerate(b.column(len(keep))):
-                for k, f in enumerate(frames(x.as_py()) if x.is_valid else ()):
-                    own = [b.column(j).slice(i, 1) for j in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays(
-                        [*own, pa.array([k], pa.int32()), pa.array([f.delay_ms], pa.int32()), pa.array([f.pixels.shape[1]], pa.int32()), pa.array([f.pixels.shape[0]], pa.int32()), pa.array([f.pixels.tobytes()], pa.binary()), pa.array([f.histogram().tolist()], pa.list_(pa.int64()))],
-                        [*keep, "frame", "delay_ms", "width", "height", "rgba", "histogram"],
-                    )
+                own = [b.column(j).slice(i, 1) for j in range(len(keep))]
+                for row in rows(x.as_py()) if x.is_valid else ():
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array([v], kind) for v, kind in zip(row, kinds, strict=True))], [*keep, *names])
 
     return in_batches(media.select(*keep, gif_col), run, f"{kept}, {FRAME_SCHEMA}")
 

@@ -237,8 +237,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     """Fit on at most ``most`` documents of ``docs(doc_id, text)`` that ``labels(doc_id, label_col)`` marks."""
     marked = labels.select(F.col("doc_id").cast("long").alias("of"), F.col(label_col).cast("int").alias("label")).where("of is not null and label is not null").groupBy("of").agg(F.max("label").alias("label"))
     chosen = marked.orderBy(F.xxhash64("of"), "of").limit(most)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("label", "text")
-    got = in_batches(rows, _sample_lines, "label int, length binary, x binary").limit(4 * most).toPandas().sort_values(["label", "x", "length"], kind="stable")
+    own = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "label", F.col("text").cast("string").alias("text"))
+    rows = own.groupBy("of").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # one of the texts of a repeated id
+    got = in_batches(rows, _sample_lines, "label int, length binary, x binary").toPandas().sort_values(["label", "x", "length"], kind="stable")
     lengths = [np.frombuffer(v, np.int64) for v in got["length"]]
     doc = np.repeat(np.arange(len(got)), [len(v) for v in lengths])
     length = np.concatenate([*lengths, np.zeros(0, np.int64)])

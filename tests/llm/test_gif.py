@@ -1,5 +1,6 @@
 """GIF: LZW against a bit-by-bit decoder, rendering rules, payload round trip."""
 
+import contextlib
 import hashlib
 import random
 import struct
@@ -137,3 +138,15 @@ def test_frame_rows(spark):
     df = spark.createDataFrame([(1, gif.encode_samples(bytes(range(64)) * 5000)), (2, None)], "doc_id long, gif binary")
     rows = gif.decode_frames(df.select("doc_id", "gif")).orderBy("frame").collect()
     assert [(r.doc_id, r.frame, r.delay_ms, r.height, sum(r.histogram)) for r in rows] == [(1, 0, 100, 4096, 64 * 4096), (1, 1, 100, 4096, 64 * 4096)]
+
+
+def test_damaged_media_are_logged_and_do_not_stop_the_rest(spark):
+    good = gif.encode_samples(bytes(64))
+    large = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0xF7, 0, 0) + gif.GREYS + b"\x3b"
+    cut = [good[:n] for n in (10, 100, 789, 792, 798)]
+    rows = gif.decode_frames(spark.createDataFrame(list(enumerate([good, b"", b"GIF89a", large, *cut])), "doc_id long, gif binary")).collect()
+    assert [r.doc_id for r in rows if r.error is None][:1] == [0]
+    assert {r.doc_id for r in rows if r.error} >= {1, 2, 3, 4, 5}
+    for n in range(len(good)):
+        with contextlib.suppress(ValueError):
+            list(gif.frames(good[:n]))
