@@ -21,6 +21,8 @@ from .splits import best_threshold, class_order, numeric_scan
 
 #: Candidates scored in one job at most, and their values in all.
 MOST, MOST_VALUES = 2000, 2_000_000
+#: Differences that are held at once, and series whose distances one task sorts, about.
+CELLS, PIECE = 2_000_000, 1_000_000
 
 
 def distances(series: DataFrame, candidates: DataFrame, pad: bool = False) -> DataFrame:
@@ -39,8 +41,16 @@ def population_distances(series: DataFrame, population: list[np.ndarray], pad: b
     def run(batches):
         for pdf in batches:
             parts = []
+            lengths = pdf["series"].map(len).to_numpy() if len(pdf) else np.zeros(0, int)
+            stacks = [(at, np.stack(pdf["series"].iloc[at].to_numpy())) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]]
             for k, p in enumerate(population):
-                v = [T.local_distance(s, p, pad) for s in pdf["series"]]
+                v = np.empty(len(pdf))
+                for at, rows in stacks:
+                    if rows.shape[1] >= len(p):
+                        step = max(1, CELLS // (len(p) * (rows.shape[1] - len(p) + 1)))
+                        v[at] = np.concatenate([T.local_distances(rows[i : i + step], p) for i in range(0, len(rows), step)])
+                    else:
+                        v[at] = [T.local_distance(s, p, pad) for s in rows]
                 parts.append(pd.DataFrame({"cand": k, "sid": pdf["sid"], "label": pdf["label"], "w": pdf["w"], "value": v}))
             if parts:
                 yield pd.concat(parts)
@@ -49,10 +59,13 @@ def population_distances(series: DataFrame, population: list[np.ndarray], pad: b
     return series.select("sid", "label", "w", "series").mapInPandas(run, f"cand long, sid {kind}, label string, w double, value double")
 
 
-def score_candidates(series: DataFrame, candidates: DataFrame | list[np.ndarray], least: float = 2.0, use_mdl: bool = False, pad: bool = False) -> DataFrame:
-    """(cand, threshold, lower, candidates, raw_gain, gain) of each candidate's best threshold."""
+def score_candidates(series: DataFrame, candidates: DataFrame | list[np.ndarray], least: float = 2.0, use_mdl: bool = False, pad: bool = False, n: int = 0) -> DataFrame:
+    """(cand, threshold, lower, candidates, raw_gain, gain) of each candidate's best threshold; ``n``: the number of series, where known.
+
+    Null series weigh in the gain as unknown.
+    """
     d = population_distances(series, candidates, pad) if isinstance(candidates, list) else distances(series, candidates, pad)
-    return best_threshold(d, class_order(series, "label"), least, use_mdl, keys=("cand",), buckets=1)
+    return best_threshold(d, class_order(series, "label"), least, use_mdl, keys=("cand",), buckets=max(1, n // PIECE))
 
 
 def candidate_scan(series: DataFrame, candidates: DataFrame, least: float = 2.0) -> DataFrame:
@@ -97,13 +110,13 @@ class Found:
     threshold: float | None
 
 
-def evaluate(series: DataFrame, population: list[np.ndarray], least: float, memo: dict[bytes, tuple[float, float | None]]) -> list[Found]:
+def evaluate(series: DataFrame, population: list[np.ndarray], least: float, memo: dict[bytes, tuple[float, float | None]], n: int = 0) -> list[Found]:
     """Gain and compressibility of each; those seen before are not scored again."""
     new = {p.tobytes(): p for p in population if p.tobytes() not in memo}
     keys = list(new)
     for at in range(0, len(keys), MOST):
         part = keys[at : at + MOST]
-        got = {r["cand"]: (r["raw_gain"], r["threshold"]) for r in score_candidates(series, [new[k] for k in part], least, pad=True).collect()}
+        got = {r["cand"]: (r["raw_gain"], r["threshold"]) for r in score_candidates(series, [new[k] for k in part], least, pad=True, n=n).collect()}
         memo.update({k: got.get(i, (0.0, None)) for i, k in enumerate(part)})
     return [Found(p, memo[p.tobytes()][0], T.compression_ratio(p.tolist()), memo[p.tobytes()][1]) for p in population]
 
@@ -115,7 +128,14 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
     mutation and survival; one job a generation.  ``series(sid, label, w, series)``.
     """
     series = series.where("series is not null and size(series) > 0 and label is not null").persist()
-    rng = np.random.default_rng(seed)
+    try:
+        return _search(series, population, evaluations, crossover, mutation, weight, least, seed)
+    finally:
+        series.unpersist()
+
+
+def _search(series: DataFrame, population: int, evaluations: int, crossover: float, mutation: float, weight: float, least: float, seed: int) -> Found | None:
+    n, rng = series.count(), np.random.default_rng(seed)
     population += population % 2
     start = [np.array(r["series"], float) for r in series.select("series").orderBy(F.xxhash64("sid", F.lit(seed)), "sid").limit(population).collect()]
     if not start:
@@ -126,7 +146,7 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
         b = int(rng.integers(0, len(s)))
         pool.append(s[b : int(rng.integers(b, len(s))) + 1])
     memo: dict[bytes, tuple[float, float | None]] = {}
-    now, done = evaluate(series, pool, least, memo), population
+    now, done = evaluate(series, pool, least, memo, n), population
 
     def judge(p: list[Found]) -> tuple[np.ndarray, np.ndarray]:
         o = np.array([(-f.gain, f.ratio) for f in p])
@@ -144,12 +164,11 @@ def search(series: DataFrame, population: int = 100, evaluations: int = 500, cro
         for k in range(0, 2 * population, 4):
             a, b = cross(now[better(order[k], order[k + 1])].shapelet, now[better(order[k + 2], order[k + 3])].shapelet, crossover, rng)
             young += [mutate(a, mutation, rng), mutate(b, mutation, rng)]
-        both = now + evaluate(series, young, least, memo)
+        both = now + evaluate(series, young, least, memo, n)
         done += len(young)
         rank, crowd = judge(both)
         keep = sorted(range(len(both)), key=lambda i: (rank[i], -crowd[i], i))[:population]
         now, rank, crowd = [both[i] for i in keep], rank[keep], crowd[keep]
-    series.unpersist()
     return knee([f for f, r in zip(now, rank, strict=True) if r == 0], weight)
 
 

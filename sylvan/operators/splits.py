@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import criteria as C
 
-#: Pieces into which a numeric attribute's values are cut for its running sums.
+#: Pieces into which a numeric attribute's values are cut for its running sums, at least.
 BUCKETS = 16
+#: Rows of a piece, about, where the number of rows is known; thresholds that are moved in one pass.
+PIECE, PER_PASS = 1_000_000, 300
 KEYS = ("node", "attr")
 
 
+def buckets(rows: int) -> int:
+    """Pieces for a table of so many rows."""
+    return max(BUCKETS, -(-rows // PIECE))
+
+
 def class_order(df: DataFrame, label: str) -> list[str]:
     """The class labels in order; a bounded number, as each becomes a column."""
     got = [r[0] for r in df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct().limit(1001).collect()]
@@ -165,7 +172,19 @@ def best_threshold(rows: DataFrame, classes: Sequence[str], least: float = 2.0,
 
 
 def relocate(df: DataFrame, thresholds: DataFrame, attrs: Sequence[str], keys: Sequence[str] = ("node", "attr")) -> DataFrame:
-    """``thresholds(keys, threshold)`` with ``actual``: the largest value of the whole table that is not above."""
-    longs = long_form(df.withColumn("_l", F.lit("")), attrs, "double", "_l").where("value is not null").select("attr", "value").distinct()
-    j = thresholds.join(longs, "attr").where(F.col("value") <= F.col("threshold") + C.EPS)
-    return j.groupBy(*keys).agg(F.first("threshold").alias("threshold"), F.max("value").alias("actual"))
+    """``thresholds(keys, threshold)`` with ``actual``: the largest value of the whole table that is not above.
+
+    One row a split comes to the driver; each ``PER_PASS`` of them are maxima of one pass with partial sums, so no values move.
+    """
+    kinds = [thresholds.schema[k].dataType for k in (*keys, "threshold")]
+    want = [r for r in thresholds.select(*keys, "threshold").collect() if r["attr"] in attrs]
+    out = None
+    for at in range(0, max(1, len(want)), PER_PASS):
+        rows = []
+        for r in want[at : at + PER_PASS]:
+            v = F.col(r["attr"]).cast("double")
+            given = [F.lit(r[k]).cast(kind).alias(k) for k, kind in zip((*keys, "threshold"), kinds, strict=True)]
+            rows.append(F.struct(*given, F.max(F.when(~F.isnan(v) & (v <= r["threshold"] + C.EPS), v)).alias("actual")))
+        got = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("actual is not null") if rows else thresholds.select(*keys, "threshold", F.col("threshold").alias("actual")).limit(0)
+        out = got if out is None else out.unionByName(got)
+    return out

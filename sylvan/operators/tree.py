@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ class Options:
     crossover: float = 0.8
     mutation: float = 0.1
     seed: int = 1
-    max_depth: int = 40
+    max_depth: int | None = None  # levels; no limit
 
     def __post_init__(self) -> None:
+        if self.unpruned and not self.raising:
+            raise ValueError("an unpruned tree has no subtree raising to leave out")
         if self.unpruned and self.reduced_error:
             raise ValueError("an unpruned tree has no reduced-error pruning")
         if not 0 < self.confidence < 1:
@@ -261,7 +264,7 @@ def _counts(rows: DataFrame, classes: list[str]) -> dict[int, list[float]]:
     return {r["node"]: [r[f"c{i}"] for i in range(len(classes))] for r in got}
 
 
-def _candidates(rows: DataFrame, open_: dict[int, Node], tree: Tree, domains: dict[str, list[str]]) -> dict[int, list[tuple[float, int, int, Split]]]:
+def _candidates(rows: DataFrame, open_: dict[int, Node], tree: Tree, domains: dict[str, list[str]], n_rows: int) -> dict[int, list[tuple[float, int, int, Split]]]:
     """For each open node its valid splits as (score, -phase, -attribute's place, split)."""
     o, classes, out = tree.options, tree.classes, {n: [] for n in open_}
     place = {a: i for i, a in enumerate(tree.kinds)}
@@ -277,13 +280,13 @@ def _candidates(rows: DataFrame, open_: dict[int, Node], tree: Tree, domains: di
                 out[r["node"]].append((r["score"], 0, -place[r["attr"]], Split("values", r["attr"], tuple(domains[r["attr"]]))))
     if of["numeric"]:
         longs = splits.long_form(rows, of["numeric"], "double", "label", F.col("w"), keep=("node",))
-        for r in splits.best_threshold(longs, classes, o.least, o.mdl).where(f"gain > {C.EPS}").collect():
+        for r in splits.best_threshold(longs, classes, o.least, o.mdl, buckets=splits.buckets(n_rows)).where(f"gain > {C.EPS}").collect():
             out[r["node"]].append((r["gain"], 0, -place[r["attr"]], Split("threshold", r["attr"], threshold=r["threshold"])))
     if not of["seq"] and not of["ts"]:
         return out
     for node, n in open_.items():
         mine = rows.where(F.col("node") == node)
-        base = max((c[0] for c in out[node]), default=0.0) if o.gain_pruning else 0.0
+        base = _class_gains(mine, max(out[node], key=lambda c: c[:3])[3], classes) if o.gain_pruning and of["seq"] and out[node] else 0.0
         for a in of["seq"]:
             seqs = mine.select(F.col("row_id").alias("sid"), "label", F.col(f"`{a}`").alias("seq"))
             best = patterns.pick(patterns.mine(seqs, o.support, o.gap, o.longest, min_gain=base), o.pattern_weight)
@@ -295,24 +298,32 @@ def _candidates(rows: DataFrame, open_: dict[int, Node], tree: Tree, domains: di
             if best is None:
                 continue
             cand = rows.sparkSession.createDataFrame([(0, [float(v) for v in best.shapelet])], "cand long, shapelet array<double>")
-            r = shapelets.score_candidates(s.where("series is not null"), cand, o.least, o.mdl).first()
+            r = shapelets.score_candidates(s, cand, o.least, o.mdl, n=n_rows).first()
             if r is not None and r["gain"] > C.EPS:
                 out[node].append((r["gain"], -2, -place[a], Split("shapelet", a, threshold=r["threshold"], shapelet=tuple(float(v) for v in best.shapelet))))
     return out
 
 
+def _class_gains(rows: DataFrame, split: Split, classes: list[str]) -> dict[str, float]:
+    """The gain of a split about each class against the rest."""
+    bags = rows.select(F.lit(split.attr).alias("attr"), split.branch().cast("string").alias("value"), "label", "w")
+    return {r["label"]: r["gain"] for r in splits.class_gains(bags, classes, ("attr",)).collect()}
+
+
 def _grow(rows: DataFrame, held: DataFrame | None, whole: DataFrame, tree: Tree, domains: dict[str, list[str]]) -> None:
     o = tree.options
     open_ = dict(tree.nodes)
-    made = len(tree.nodes)
+    made, n_rows = len(tree.nodes), whole.count()
     kept: list[DataFrame] = []
-    for _ in range(o.max_depth):
+    for _ in count() if o.max_depth is None else range(o.max_depth):
         open_ = {k: n for k, n in open_.items() if n.weight >= 2 * o.least - C.EPS and n.errors() > C.EPS}
         if not open_:
             break
         rows = rows.where(F.col("node").isin(list(open_))).persist()
         kept.append(rows)
-        found = {k: max(v, key=lambda c: c[:3]) for k, v in _candidates(rows, open_, tree, domains).items() if v}
+        found = {k: max(v, key=lambda c: c[:3]) for k, v in _candidates(rows, open_, tree, domains, n_rows).items() if v}
+        while len(kept) > 1:  # this level is held, so the one before is not needed
+            kept.pop(0).unpersist()
         if not found:
             break
         chosen: dict[int, Split] = {k: c[3] for k, c in found.items()}

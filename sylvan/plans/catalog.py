@@ -350,6 +350,27 @@ def mined_patterns(spark, d):
     return spark.createDataFrame([(m.text(), m.length, m.support, float(round(m.gain, 9))) for m in found], "pattern string, length int, support long, gain double")
 
 
+def _step_sql(before: str, length: int) -> str:
+    """Places of patterns of one more item than those of the CTE ``before``: in a later itemset, or in the same."""
+    return (
+        f"SELECT e.pattern || '>' || y.item AS pattern, {length} AS length, e.sid, e.label, y.tid, y.item FROM {before} e JOIN ids y ON e.sid = y.sid AND y.tid > e.tid AND y.tid - e.tid <= 2"
+        f" UNION SELECT e.pattern || ',' || y.item, {length}, e.sid, e.label, y.tid, y.item FROM {before} e JOIN ids y ON e.sid = y.sid AND y.tid = e.tid AND y.item > e.item"
+    )
+
+
+@query(
+    f"""{SEQS}, e1 AS (SELECT DISTINCT item AS pattern, 1 AS length, sid, label, tid, item FROM ids), e2 AS ({_step_sql("e1", 2)}), e3 AS ({_step_sql("e2", 3)}),
+hit AS (SELECT pattern, length, label, count(DISTINCT sid) AS c FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3) GROUP BY 1, 2, 3),
+n AS (SELECT label, count(*)::DOUBLE AS a FROM sq GROUP BY label),
+m AS (SELECT p.pattern, p.length, n.label, n.a, coalesce(h.c, 0)::DOUBLE AS c FROM (SELECT DISTINCT pattern, length FROM hit) p CROSS JOIN n LEFT JOIN hit h ON h.pattern = p.pattern AND h.label = n.label),
+gains AS (SELECT pattern, length, sum(c)::BIGINT AS support, ({xl("sum(a)")} - {sxl("a")} - {xl("sum(c)")} + {sxl("c")} - {xl("sum(a - c)")} + {sxl("(a - c)")}) / ln(2) / sum(a) AS gain FROM m GROUP BY 1, 2)
+SELECT pattern, CAST(length AS INTEGER) AS length, support, round(gain, 9) AS gain FROM gains WHERE length = 1 OR support >= greatest(1, ceil(0.04 * (SELECT count(*) FROM sq)))"""
+)
+def frequent_patterns(spark, d):
+    found = patterns.mine(X.event_sequences(spark, d), support=0.04, gap=2, longest=3, generators=False)
+    return spark.createDataFrame([(m.text(), m.length, m.support, float(round(m.gain, 9))) for m in found], "pattern string, length int, support long, gain double")
+
+
 # -- 4. series
 
 SHAPELET = "SELECT list_transform(embedding[9:24], lambda x: x::DOUBLE) AS s FROM embeddings WHERE vec_id = 38"

@@ -92,11 +92,83 @@ def test_mined_patterns(spark, gap):
     assert patterns.pick(found) is not None and patterns.pick([]) is None
 
 
-def test_generators_are_fewer_and_cover_the_best_gain(spark):
-    df = spark.createDataFrame(random_sequences(60, 7), "sid long, label string, seq array<array<string>>")
-    some, all_ = (patterns.mine(df, 0.3, 2, 3, generators=g) for g in (True, False))
-    assert {m.pattern for m in some} <= {m.pattern for m in all_}
-    assert max(m.gain for m in some) == pytest.approx(max(m.gain for m in all_))
+def brute_patterns(seqs, need, gap, longest):
+    """Every frequent pattern of up to ``longest`` items, with the sequences it matches."""
+    items = sorted({i for _, _, s in seqs for x in s for i in x})
+    level, out = [((i,),) for i in items], {}
+    for _ in range(longest):
+        hit = {p: frozenset(sid for sid, _, s in seqs if S.contains_local(s, p, gap)) for p in level}
+        hit = {p: h for p, h in hit.items() if len(h) >= need}
+        out |= hit
+        level = [q for p in hit for i in items for q in ((*p, (i,)), *([(*p[:-1], (*p[-1], i))] if i > p[-1][-1] else []))]
+    return out
+
+
+@pytest.mark.parametrize(("gap", "classes"), [(0, "yn"), (1, "yn"), (2, "xyz"), (0, "xyz")])
+def test_every_frequent_pattern_has_a_found_one_that_matches_the_same(spark, gap, classes):
+    r = random.Random(10 * gap + len(classes))
+    seqs = [(i, r.choice(classes), [sorted(r.sample("abcd", r.randrange(1, 3))) for _ in range(r.randrange(1, 6))]) for i in range(30)]
+    df = spark.createDataFrame(seqs, "sid long, label string, seq array<array<string>>")
+    found = patterns.mine(df, support=0.2, gap=gap, longest=3)
+    of = {m.pattern: frozenset(sid for sid, _, s in seqs if S.contains_local(s, m.pattern, gap)) for m in found}
+    want = brute_patterns(seqs, 6, gap, 3)
+    for p, h in want.items():
+        assert any(of[m.pattern] == h and m.length <= sum(map(len, p)) for m in found), p
+    per = Counter(c for _, c, _ in seqs)
+    for m in found:
+        hit = Counter(c for sid, c, _ in seqs if sid in of[m.pattern])
+        assert m.support == len(of[m.pattern])
+        for c, g in zip(sorted(per), m.one_vs_all, strict=True):
+            rest = len(seqs) - per[c]
+            bags = [[hit[c], m.support - hit[c]], [per[c] - hit[c], rest - m.support + hit[c]]]
+            assert g == pytest.approx(C.info_gain(bags), abs=1e-6)
+    assert {m.pattern for m in found} <= {m.pattern for m in patterns.mine(df, 0.2, gap, 3, generators=False)}
+
+
+@pytest.mark.parametrize("labels", ["xxxyy", "xxxyz"])
+@pytest.mark.parametrize("least", [0.0, 0.5])
+def test_a_pattern_whose_beginnings_gain_little_is_found(spark, labels, least):
+    texts = ["a>c>b>f>c>d"] * 3 + ["c>d>g>h>a>c>b>f>c"] * 2
+    seqs = [(i, c, S.from_text(s)) for i, (c, s) in enumerate(zip(labels, texts, strict=True))]
+    df = spark.createDataFrame(seqs, "sid long, label string, seq array<array<string>>")
+    found = {m.text(): m for m in patterns.mine(df, support=0.5, gap=2, longest=4, min_gain=least)}
+    assert found["b>c>d"].gain == pytest.approx(0.9709505944546686, abs=1e-9)
+
+
+def test_the_bound_holds_for_all_rarer_patterns():
+    n = 12
+    for k in range(1, n):
+        for s in range(1, n + 1):
+            most = max(C.info_gain([[h, t - h], [k - h, n - k - t + h]]) for t in range(1, s + 1) for h in range(max(0, t - n + k), min(k, t) + 1))
+            assert patterns.most_gain(k / n, s / n) >= most - 1e-9
+
+
+def test_the_pick_weighs_classes_apart():
+    m = lambda t, g, ova: patterns.Mined(tuple(tuple(x.split(",")) for x in t.split(">")), 5, g, ova)
+    # Of one item, a leads for the first class and b for the second; b gains more about all; c leads for none.
+    found = [m("a", 0.2, (0.4, 0.1)), m("b", 0.3, (0.1, 0.35)), m("c", 0.5, (0.3, 0.3)), m("a>b", 0.31, (0.5, 0.2))]
+    assert patterns.pick(found, 0.75).text() == "b"
+    assert patterns.pick(found, 1.0).text() == "a>b"
+    assert patterns.pick([m("a", 0.0, (0.0, 0.0))]).text() == "a"
+
+
+def test_relocated_thresholds(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 7), (None, 9), (float("nan"), 11), (3.5, None)], "x double, y int")
+    t = spark.createDataFrame([(1, "x", 2.9), (2, "x", 3.5), (3, "y", 8.0), (4, "x", 0.5)], "node int, attr string, threshold double")
+    got = {r.node: (r.attr, r.threshold, r.actual) for r in splits.relocate(df, t, ["x", "y"]).collect()}
+    assert got == {1: ("x", 2.9, 2.0), 2: ("x", 3.5, 3.5), 3: ("y", 8.0, 7.0)}
+    assert splits.relocate(df, t.limit(0), ["x"]).collect() == []
+
+
+def test_population_distances_of_mixed_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, "a", 1.0, r.random(int(n)).tolist()) for i, n in enumerate(r.integers(1, 9, 40))]
+    df = spark.createDataFrame(rows, "sid long, label string, w double, series array<double>")
+    pop = [r.random(n) for n in (1, 3, 6, 12)]
+    got = {(x.cand, x.sid): x.value for x in shapelets.population_distances(df, pop).collect()}
+    from sylvan.functions import series as T
+
+    assert got == {(k, sid): T.local_distance(s, p, True) for k, p in enumerate(pop) for sid, _, _, s in rows}
 
 
 def test_fronts(spark):

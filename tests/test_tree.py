@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvan.operators import score
 from sylvan.operators.tree import Options, Tree, fit, infer_kinds, normalise
-from sylvan.plans import render
+from sylvan.plans import options, render
 from sylvan.sources import arff
 from sylvan.streaming.scoring import score_stream, write
 
@@ -105,7 +105,7 @@ def test_kinds(spark):
     assert infer_kinds(df, "y", {"SEQ_q": "nominal"}) == {"SEQ_q": "nominal"}
     with pytest.raises(ValueError):
         infer_kinds(spark.createDataFrame([("a", [1])], "y string, v array<int>"), "y")
-    for bad in ({"unpruned": True, "reduced_error": True}, {"confidence": 1.0}, {"folds": 1}):
+    for bad in ({"unpruned": True, "reduced_error": True}, {"unpruned": True, "raising": False}, {"confidence": 1.0}, {"folds": 1}):
         with pytest.raises(ValueError):
             Options(**bad)
 
@@ -138,3 +138,57 @@ def test_arff(spark, tmp_path):
     df = arff.read(spark, f"file://{tmp_path}/a.arff")
     assert df.columns == ["a b", "c", "SEQ_s"]
     assert [tuple(r) for r in df.collect()] == [(1.5, "x", "a,b>c"), (None, "y z", None)]
+
+
+def test_arff_quotes_signs_and_sparse_rows(spark, tmp_path):
+    lines = ["@RELATION r", "@attribute a numeric", "@attribute 'b c' {first, \"x y\"}", "@attribute s string", "@data", "1,first,'it\\'s, so'", "@home,first,@data1", "2, \"x y\" ,\"?\"", "{0 3, 2 'q, r'}", "{1 \"x y\", 0 ?}", "{ }", "?,?,?"]
+    (tmp_path / "a.arff").write_text("\n".join(lines))
+    got = [tuple(r) for r in arff.read(spark, f"file://{tmp_path}/a.arff").collect()]
+    assert got == [(1.0, "first", "it's, so"), (None, "first", "@data1"), (2.0, "x y", "?"), (3.0, "first", "q, r"), (None, "x y", None), (0.0, "first", None), (None, None, None)]
+
+
+def test_arff_of_too_long_a_header(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arff, "MOST", 3)
+    (tmp_path / "a.arff").write_text("@relation r\n@attribute a numeric\n@attribute b numeric\n@data\n1,2\n")
+    with pytest.raises(ValueError, match="header"):
+        arff.read(spark, f"file://{tmp_path}/a.arff")
+
+
+def test_options():
+    o = options.parse("-R -N 4 -Q 7 -B -SP -M 5 -P 0.3 -POP 20".split())
+    assert (o.reduced_error, o.folds, o.seed, o.binary, o.relocate, o.least, o.support, o.population) == (True, 4, 7, True, False, 5, 0.3, 20)
+    for o in (Options(), Options(unpruned=True, collapse=False), Options(reduced_error=True, folds=5), Options(raising=False, confidence=0.1, laplace=True, mdl=False, gain_pruning=True)):
+        assert options.parse(options.emit(o)) == o
+    for bad in ("-U -S", "-U -R", "-C 0.1 -R", "-U -C 0.1", "-N 3", "-C 1.5", "-X", "-M", "-B -B", "-M x"):
+        with pytest.raises(ValueError):
+            options.parse(bad.split())
+    assert all(flag in options.listing() for flag, *_ in options.OPTIONS)
+
+
+def test_command_line(spark, tmp_path):
+    from sylvan.__main__ import main
+
+    assert "-POP" in main([])
+    rows_ = "".join(f"{i},{'ab'[i > 10]}\n" for i in range(20))
+    (tmp_path / "t.arff").write_text(f"@relation r\n@attribute x numeric\n@attribute y {{a,b}}\n@data\n{rows_}")
+    assert "x <= 10" in main(["-M", "2", f"file://{tmp_path}/t.arff", "y"])
+
+
+def test_unknown_series_lower_the_gain(spark):
+    """Half of the series are unknown: the shapelet's gain counts against all rows' weight, so a better known column wins."""
+    out = []
+    for i in range(80):
+        good = i % 2 == 0
+        v = [0.1 * k + (4 if good and 3 <= k < 6 else 0) for k in range(10)]
+        out.append((None if i % 4 < 2 and i < 70 else ",".join(map(str, v)), "p" if good or i % 10 == 1 else "q", "yn"[good]))
+    df = spark.createDataFrame(out, "TS_v string, c string, y string")
+    o = Options(population=8, evaluations=16, max_depth=1, unpruned=True)
+    assert fit(df, "y", options=o).root.split.kind == "values"
+    assert fit(df.drop("c"), "y", options=o).root.split.kind == "shapelet"
+
+
+def test_static_gain_bounds_the_patterns(spark):
+    rows_ = [("a>b" if i % 2 else "b>a", i % 2 * 1.0 + i % 7 / 10, "yn"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows_, "SEQ_s string, x double, y string")
+    t = fit(df, "y", options=Options(gain_pruning=True, longest=2, support=0.3, max_depth=1, unpruned=True))
+    assert t.root.split.kind == "threshold"  # the pattern gains no more, and the first of equals stays
