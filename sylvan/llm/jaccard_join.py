@@ -24,9 +24,10 @@ result is each document's component.  Steps:
     are compared.  A block gives at most a spanning forest of its links: no link
     between components is lost and no list of pairs is ever written.
 
-A shingle that a sample shows to be in very many nodes is counted apart, its
-rows dealt by shingle and node, so no task sorts them all; everything else by
-shingle is a sum with partial sums.
+Shingles that a sample shows to be in very many nodes come last in their block,
+whatever their number, so they need no count and no task sorts all rows of one;
+everything else by shingle is a sum with partial sums.  (Any order of shingles
+gives the same links.)
 
 Nulls: a null or wordless text has an empty set, n_shingles 0 and links with
 nothing; its component is its own doc_id.  A text of fewer than n words is one
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -55,7 +56,7 @@ BLOCKS = (0.3, 0.6)
 SMALL = 32
 #: Seeds of the further orders under which a pair must share prefix shingles.
 ORDERS = (11, 23)
-#: Nodes that hold a shingle, and part of all nodes, from which on it is counted apart; one node of so many is in the sample that tells.
+#: Nodes that hold a shingle, and part of all nodes, from which on it is not counted; one node of so many is in the sample that tells.
 HOT, HOT_PART, SAMPLED = 2000, 1000, 32
 #: Nodes and shingles of a side of a block, about; and of what is compared at once within it.
 SIDE, SIDE_SHINGLES = 2048, 500_000
@@ -125,19 +126,17 @@ def _hot(sent: DataFrame) -> DataFrame:
 
 
 def _shared(sent: DataFrame) -> DataFrame:
-    """(tok, node, c): the shingles that more than one node holds, and how many do."""
+    """(tok, node, c): the shingles that more than one node holds, and how many do; of hot ones, and of what shares a bit with one, a number above all."""
     hot = _hot(sent)
     some = bool(hot.take(1))
     flat = sent.select("node", F.explode("toks").alias("tok"))
-    cold = (flat.join(F.broadcast(hot), "tok", "left_anti") if some else flat).repartition("tok")
+    marked = _bit(_bitmap(hot.select(F.col("tok").alias("k")), 4096), sent.sparkSession, F.col("tok")) if some else None
+    cold = (flat.where(~marked) if some else flat).repartition("tok")
     by_node = Window.partitionBy("tok").orderBy("node")
     seen = cold.select("tok", "node", F.dense_rank().over(by_node).alias("r"), F.lag("node").over(by_node).alias("before"))
     out = seen.withColumn("c", F.max("r").over(Window.partitionBy("tok"))).where("c > 1 and (before is null or before <> node)").select("tok", "node", "c")
     if some:
-        own = flat.join(F.broadcast(hot), "tok", "left_semi").dropDuplicates(["tok", "node"])
-        # A row a hot shingle, of which there is a bounded number.
-        held = own.groupBy("tok").agg(F.count("*").cast("int").alias("c")).where("c > 1")
-        out = out.unionByName(own.join(F.broadcast(held), "tok").select("tok", "node", "c"))
+        out = out.unionByName(flat.where(marked).dropDuplicates(["tok", "node"]).select("tok", "node", F.lit(2**31 - 1).alias("c")))
     return out
 
 
@@ -165,9 +164,9 @@ def prefix_sql(num: int, den: int):
     return F.expr(f"n - ((n * {num} + {den} - 1) div {den}) + 1")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of hashed keys ``k``, of at most 16 MB however many they are: bit k modulo its length is set for each."""
-    bits = 1 << min(27, max(10, (16 * max(keys.count(), 1)).bit_length()))
+def _bitmap(keys: DataFrame, each: int = 16) -> np.ndarray:
+    """A bitmap of hashed keys ``k`` with ``each`` bits a key, of at most 16 MB however many they are: bit k modulo its length is set for each."""
+    bits = 1 << min(27, max(10, (each * max(keys.count(), 1)).bit_length()))
     slots = keys.select(F.expr(f"k & {bits - 1}L").alias("s")).select(F.expr("s >> 6").alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
     got = slots.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -175,6 +174,13 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _bit(bitmap: np.ndarray, spark: SparkSession, key: Column) -> Column:
+    """Whether the key's bit is set."""
+    bits = spark.createDataFrame(pa.table({"bits": pa.array([bitmap], pa.list_(pa.int64()))})).scalar()
+    slot = key.bitwiseAND(F.lit(len(bitmap) * 64 - 1))
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def order_prefixes(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     """A set's prefix under each further order, as sorted 32-bit values."""
     p = prefix_length(len(s), num, den)
@@ -438,10 +444,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     mine = [F.col(f"`{c}`") for c in docs.columns]
     row_id, row_h = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     # A bitmap tells most unmarked rows from the marked ones, so their texts stay where they are.
-    seen = _bitmap(marks.select(F.xxhash64(own_id, own_h).alias("k")))
-    bits = docs.sparkSession.createDataFrame(pa.table({"bits": pa.array([seen], pa.list_(pa.int64()))})).scalar()
-    slot = F.xxhash64(row_id, row_h).bitwiseAND(F.lit(len(seen) * 64 - 1))
-    maybe = F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    maybe = _bit(_bitmap(marks.select(F.xxhash64(own_id, own_h).alias("k"))), docs.sparkSession, F.xxhash64(row_id, row_h))
     here = row_id.eqNullSafe(F.col(own_id)) & (row_h == F.col(own_h))
     out = docs.where(~maybe).union(docs.where(maybe).join(marks, here, "left_anti").select(*mine))
     if marks.where(~F.col(own_gone)).take(1):

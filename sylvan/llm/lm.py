@@ -46,7 +46,7 @@ from .storage import collect_garbage, in_batches, materialise, new_path
 from .text import U, mix, word_batches
 
 #: Tokens in a block, about; records (distinct n-grams of a block) in a shard, about.
-BLOCK, SHARD = 500_000, 500_000
+BLOCK, SHARD = 640_000, 500_000
 #: Occurrences beyond which a context's successors are dealt over several shards.
 HOT = 200_000
 #: Weight of the order below.
