@@ -397,7 +397,8 @@ def distance_swap_vs_pad(spark, d):
 
 
 ONE_SHAPELET = f"SELECT 0 AS attr, {DIST.format(a='e', b='s')} AS v, label AS c FROM ({SERIES}) x CROSS JOIN ({SHAPELET}) c"
-CANDIDATES = f"SELECT vec_id AS attr, {DIST.format(a='e', b='s')} AS v, label AS c FROM ({SERIES}) x CROSS JOIN (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS s FROM embeddings WHERE vec_id < 6) c"
+MEANS = f"SELECT label, list(m ORDER BY i) AS s FROM (SELECT label, i, round(avg(e[i]), 6) AS m FROM ({SERIES}) y CROSS JOIN range(25, 41) t(i) GROUP BY label, i) z GROUP BY label"
+CANDIDATES = f"SELECT s.label AS attr, {DIST.format(a='e', b='s')} AS v, x.label AS c FROM ({SERIES}) x CROSS JOIN ({MEANS}) s"
 
 
 @query(f"{scan_sql(ONE_SHAPELET)} {BEST} SELECT round(threshold, 9) AS threshold, lower, candidates, round(raw_gain, 9) AS raw_gain, round(gain, 9) AS gain FROM best")
@@ -410,7 +411,8 @@ def shapelet_candidates_rank(spark, d):
     from pyspark.sql import Window
 
     s = X.embedding_series(spark, d)
-    cands = s.where("sid < 6").select(F.col("sid").alias("cand"), F.slice("series", 1, 16).alias("shapelet"))
+    mean = F.array(*[F.round(F.avg(F.get("series", F.lit(i))), 6) for i in range(24, 40)])  # the middle of each class's mean series
+    cands = s.groupBy("label").agg(mean.alias("shapelet")).withColumnRenamed("label", "cand")
     place = F.row_number().over(Window.orderBy(-F.round("raw_gain", 12), "cand")).cast("bigint")  # one row a candidate
     return shapelets.score_candidates(s, cands).select("cand", "lower", r9("raw_gain", "gain"), place.alias("place"))
 
