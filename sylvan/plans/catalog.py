@@ -422,7 +422,16 @@ def series_assemble(spark, d):
     return X.daily_series(spark, d).select("sid", F.posexplode("series").alias("p", "x")).select("sid", (F.col("p") + 1).cast("int").alias("place"), F.round("x", 6).alias("v"))
 
 
-@query()
+#: The last row of the warping table of the window of ``e`` at ``o`` (rows: its values) against ``s`` (columns, the first one outside).
+WARPED = """list_reduce(list_concat([list_concat([0::DOUBLE], list_transform(s, lambda z: 'inf'::DOUBLE))], list_transform(e[o:o + len(s) - 1], lambda z: [z])),
+  lambda r, v: list_reduce(list_concat([['inf'::DOUBLE]], list_transform(range(1, len(s) + 1), lambda k: [k::DOUBLE])),
+    lambda acc, j: list_append(acc, power(v[1] - s[j[1]::INT], 2) + least(acc[len(acc)], r[j[1]::INT], r[j[1]::INT + 1]))))"""
+
+
+@query(
+    f"""WITH c AS ({SHAPELET}), x AS ({SERIES}), w AS (SELECT sid, s, e, unnest(range(1, len(e) - len(s) + 2)) AS o FROM x CROSS JOIN c),
+p AS (SELECT sid, {WARPED} AS r FROM w) SELECT sid, floor(least(sqrt(min(r[len(r)])) * 1e5, 2147483647)) / 1e5 AS distance FROM p GROUP BY sid"""
+)
 def dtw_optional(spark, d):
     shapelet = [float(v) for v in _shapelet(spark, d).first()["shapelet"]]
     return X.embedding_series(spark, d).select("sid", TS.dtw_udf(shapelet)("series").alias("distance"))
