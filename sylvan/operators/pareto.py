@@ -6,7 +6,11 @@ driver for a search's population of at most a few hundred.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +26,54 @@ def front(points: DataFrame) -> DataFrame:
     return points.join(low, ["group", "x"]).where("y = low and (before is null or y < before)").select("group", "id", "x", "y")
 
 
-def fronts(points: DataFrame) -> DataFrame:
+def fronts(points: DataFrame, below: int | None = None) -> DataFrame:
     """``points`` with ``front`` from 0: what remains undominated after the fronts before it.
 
-    Groups are populations of bounded size.
+    Each group streams through one task in order of x and y.  With ``below``
+    only points of earlier fronts are returned, and each task first drops those
+    that its own points put further back: a chain of ``below`` points that
+    dominate a point puts it there in the whole group too.  Points with a null
+    are in front 0; a NaN is above all numbers.
     """
+    points = points.select("group", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    schema = f"group {points.schema['group'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, x double, y double, front int"
+    if below is not None:
+        points = points.sortWithinPartitions("group", "x", "y").mapInArrow(_sweep(below), schema).drop("front")
+    return points.repartition("group").sortWithinPartitions("group", "x", "y").mapInArrow(_sweep(below), schema)
+
+
+def _in_order(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Whole numbers in the order of the column's doubles."""
+    v = column.to_numpy(zero_copy_only=False) + 0.0
+    bits = v.view(np.int64)
+    return np.where(np.isnan(v), np.iinfo(np.int64).max, np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
 
-    def run(pdf):
-        pdf["front"] = ranks(pdf[["x", "y"]].to_numpy(float))
-        return pdf
 
-    return points.select("group", "id", "x", "y").groupBy("group").applyInPandas(run, "group string, id long, x double, y double, front int")
+def _sweep(below: int | None):
+    """Batches of (group, id, x, y) in order of group, x and y with their fronts.
+
+    All that dominates a point comes before it, so its front is the number of
+    fronts whose least y so far is no higher; equal points share theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, k = None, None, 0
+        least: list[int] = []
+        for b in batches:
+            out = np.zeros(len(b), np.int32)
+            whole = np.flatnonzero(~np.any([c.is_null().to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(2), b.column(3))], axis=0))
+            kept = b.take(pa.array(whole))
+            for i, g, x, y in zip(whole.tolist(), kept.column(0).to_pylist(), _in_order(kept.column(2)).tolist(), _in_order(kept.column(3)).tolist(), strict=True):
+                if g != group:
+                    group, last, least = g, None, []
+                if (x, y) != last:
+                    last, k = (x, y), bisect_right(least, y)
+                    least[k : k + 1] = [y]
+                out[i] = k
+            made = pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["group", "id", "x", "y", "front"])
+            yield made if below is None else made.filter(pa.array(out < below))
+
+    return run
 
 
 def crowding(points: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:

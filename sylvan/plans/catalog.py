@@ -479,7 +479,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY front, crowd DE
 SELECT "group", id, CAST(front AS INTEGER) AS front, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20"""
 )
 def nsga_truncate(spark, d):
-    ranked = pareto.crowding(pareto.fronts(X.part_points(spark, d)), ("group", "front")).withColumn("crowd", F.round("crowd", 9))
+    ranked = pareto.crowding(pareto.fronts(X.part_points(spark, d), 20), ("group", "front")).withColumn("crowd", F.round("crowd", 9))
     return pareto.survivors(ranked, 20).select("group", "id", "front", "place")
 
 

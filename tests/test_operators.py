@@ -183,6 +183,24 @@ def test_fronts(spark):
     assert d.tolist() == [np.inf, 2.0, np.inf]
 
 
+def test_all_fronts_of_large_and_odd_groups(spark):
+    r = random.Random(9)
+    pts = [(r.choice("gh"), i, float(r.randrange(9)), r.choice([-1.5, 0.0, 2.0, 7.25, float("inf")])) for i in range(300)]
+    df = spark.createDataFrame(pts, "group string, id long, x double, y double").repartition(5)
+    want = {}
+    for g in "gh":
+        own = [p for p in pts if p[0] == g]
+        want |= dict(zip([p[1] for p in own], pareto.ranks(np.array([p[2:] for p in own])).tolist(), strict=True))
+    assert {x.id: x.front for x in pareto.fronts(df).collect()} == want
+    assert {x.id: x.front for x in pareto.fronts(df, 3).collect()} == {i: k for i, k in want.items() if k < 3}
+    odd = [("g", 0, 1.0, 1.0), ("g", 1, None, 2.0), (None, 2, 9.0, 9.0), (None, 3, 1.0, 1.0), ("g", 4, 1.0, float("nan")), ("g", 5, 2.0, 3.0), ("g", 6, 2.0, float("nan"))]
+    df = spark.createDataFrame(odd, "group string, id long, x double, y double")
+    assert {x.id: x.front for x in pareto.fronts(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 2}
+    big = spark.range(200_000).selectExpr("'g' as group", "id", "cast(id % 50 as double) as x", "cast(id % 7919 as double) as y")  # a matrix of all pairs has 40 GB
+    got = pareto.fronts(big, 20).groupBy("front").count().collect()
+    assert sorted(x.front for x in got) == list(range(20)) and pareto.fronts(big).count() == 200_000
+
+
 def test_shapelet_search_is_reproducible(spark):
     r = random.Random(6)
     rows = [(i, "ab"[i % 2], 1.0, [r.random() + (3 if i % 2 and 5 <= k < 9 else 0) for k in range(15)]) for i in range(40)]
