@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1.  One pass over all documents counts in how many each hashed term occurs and
-    draws, by the lowest hashes, a sample of passages bounded by ``SAMPLE``.
-2.  A randomised SVD of the TF-IDF rows of benchmark passages and sample,
-    distributed over the rows' partitions (range finder with power iterations;
-    only terms x (rank + oversampling) matrices meet), gives the latent space.
+    writes every document's terms with their counts.
+2.  A randomised SVD of the TF-IDF rows of all benchmark passages and all
+    documents, distributed over the rows' partitions (range finder with power
+    iterations; only terms x (rank + oversampling) matrices meet), gives the
+    latent space.
 3.  Every document is cut into windows of ``WINDOWS`` cells of ``CELL`` words;
     windows and benchmark passages whose latent product over their TF-IDF norms
     reaches ``MIN_COSINE`` are candidates.  So is text that shares enough word
@@ -27,7 +28,6 @@ table empty: no pairs.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -37,17 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import collect_garbage, in_batches, materialise
-from .text import U, mix, token_hash, word_batches
+from .storage import collect_garbage, drop, in_batches, materialise
+from .text import U, string_buffers, token_hash, word_batches
 
 #: Hashed terms; latent dimensions and oversampling; power iterations.
 TERMS, RANK, EXTRA, POWERS = 1 << 14, 128, 16, 2
-#: Sampled passages in all and from one task at most, and words of each.
-SAMPLE, SAMPLE_TASK, SAMPLE_WORDS = 4096, 128, 48
-#: Partitions of the rows that are decomposed; each adds a matrix of terms x (rank + oversampling).
-PARTS = 3
-#: Weight of a benchmark passage in the decomposition against a sampled one.
-BENCH_WEIGHT = 4.0
+#: Weight of a benchmark passage in the decomposition; all documents together weigh as so many rows of weight 1 at most, however many they are.
+BENCH_WEIGHT, DOCS_WEIGHT = 4.0, 4096
 CELL, WINDOWS = 12, (2, 3, 5)
 #: Words of a benchmark passage; a longer item is searched by several.
 PASSAGE = 48
@@ -57,8 +53,12 @@ ITEMS, ITEM_WORDS = 20_000, 2_000_000
 #: Words from the first to the second of a word pair at most, in an item and in a text; pairs with their items held at once.
 ITEM_GAP, TEXT_GAP, HITS = 2, 3, 200_000
 _CHUNK = 1024
-#: Rows that are multiplied together, and their cells.
-ROWS, CELLS = 512, 16_384
+#: Tasks that multiply rows at most; each adds a matrix of terms x (rank + oversampling).
+PARTS = 128
+#: Rows that are multiplied together.
+ROWS = 256
+#: Occurrences that one entry of a document's terms stands for at most.
+MOST = 1 << 17
 
 
 def _terms(ids: np.ndarray) -> np.ndarray:
@@ -66,27 +66,26 @@ def _terms(ids: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ("df", chunk, documents, counts of the chunk's terms) and ("passage", 0, hash, terms)."""
+    """Rows ("row", 0, 0, a document's terms) and ("df", chunk, documents, counts of the chunk's terms)."""
     df, n = np.zeros(TERMS, np.int64), 0
-    sample: list[tuple[int, bytes]] = []
+    names, chunks = ["kind", "chunk", "n", "data"], TERMS // _CHUNK
     for b in batches:
         for _, ids, counts in word_batches(b.column(0)):
             doc = np.repeat(np.arange(len(counts)), counts)
-            terms = _terms(ids)
-            df += np.bincount(np.unique(doc * TERMS + terms) % TERMS, minlength=TERMS)
-            n += int((counts > 0).sum())
-            start = np.concatenate(([0], np.cumsum(counts)))
-            for s in range(0, len(ids), SAMPLE_WORDS * 4):
-                part = terms[s : min(s + SAMPLE_WORDS, start[doc[s] + 1])]
-                h = int(mix(ids[s : s + 4], 41).sum(dtype=U) >> U(1))
-                if len(sample) < SAMPLE_TASK:
-                    heapq.heappush(sample, (-h, part.astype(np.int32).tobytes()))
-                elif -h > sample[0][0]:
-                    heapq.heapreplace(sample, (-h, part.astype(np.int32).tobytes()))
-    chunks = range(TERMS // _CHUNK)
-    rows = [("df", c, n, df[c * _CHUNK : (c + 1) * _CHUNK].tobytes()) for c in chunks] + [("passage", 0, -h, p) for h, p in sample]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "chunk", "n", "data"])
+            key, often = np.unique(doc * TERMS + _terms(ids), return_counts=True)
+            df += np.bincount(key % TERMS, minlength=TERMS)
+            worded = np.flatnonzero(counts)
+            n += len(worded)
+            entries = -(-often // MOST)
+            key, often = np.repeat(key, entries), np.repeat(often - (entries - 1) * MOST, entries)
+            often[np.concatenate((key[1:] == key[:-1], [False]))[: len(key)]] = MOST
+            # An entry's low bits are the term, the others how many more times it occurs.
+            packed = (key % TERMS | (often - 1) * TERMS).astype(np.int32)
+            ends = np.searchsorted(key, (worded + 1) * TERMS) * 4
+            data = pa.Array.from_buffers(pa.binary(), len(worded), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(["row"] * len(worded), pa.string()), pa.array([0] * len(worded), pa.int32()), pa.array([0] * len(worded), pa.int64()), data], names)
+    sums = [df[c * _CHUNK : (c + 1) * _CHUNK].tobytes() for c in range(chunks)]
+    yield pa.RecordBatch.from_arrays([pa.array(["df"] * chunks, pa.string()), pa.array(range(chunks), pa.int32()), pa.array([n] * chunks, pa.int64()), pa.array(sums, pa.binary())], names)
 
 
 def _sum(kind: type):
@@ -108,57 +107,53 @@ def _gather(rows: DataFrame, kind: type) -> tuple[np.ndarray, int]:
     return np.concatenate([np.frombuffer(r["data"], np.float64) for r in got] or [np.zeros(0)]), got[0]["n"] if got else 0
 
 
-def _matrix(b: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sparse TF-IDF rows of unit length times their weight: row, term, value, rows."""
-    row, term, value = [], [], []
-    for i, (w, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-        t, n = np.unique(np.frombuffer(data, np.int32), return_counts=True)
-        v = n * idf[t]
-        row.append(np.full(len(t), i))
-        term.append(t)
-        value.append(w * v / max(np.sqrt((v * v).sum()), 1e-9))
-    return np.concatenate(row), np.concatenate(term), np.concatenate(value).astype(np.float32), len(b)
+def _matrix(b: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse TF-IDF rows of unit length times their weight: row, term and value, in order of the rows."""
+    data, offsets = string_buffers(b.column(1))
+    entries = data[offsets[0] : offsets[-1]].view(np.int32)
+    key = np.repeat(np.arange(len(b)), np.diff(offsets) // 4) * TERMS + entries % TERMS
+    often = (entries // TERMS + 1).astype(np.float64)
+    if (key[1:] <= key[:-1]).any():
+        key, own = np.unique(key, return_inverse=True)
+        often = np.bincount(own, often)
+    row, term = key // TERMS, key % TERMS
+    v = often * idf[term]
+    norm = np.sqrt(np.bincount(row, v * v, len(b)))
+    return row, term, (b.column(0).to_numpy()[row] * v / np.maximum(norm, 1e-9)[row]).astype(np.float32)
 
 
-def _add_times(out: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, m: np.ndarray) -> None:
-    """Add the product of a sparse matrix, in order of its rows, and ``m`` to ``out``, ``CELLS`` of its cells at a time."""
-    for i in range(0, len(row), CELLS):
-        r = row[i : i + CELLS]
-        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        out[r[first]] += np.add.reduceat(m[col[i : i + CELLS]] * value[i : i + CELLS, None], first)
-
-
-def _step(m: np.ndarray, idf: np.ndarray, gram: bool):
-    """Partial sums of A'(A m), by chunks of terms, or of (A m)'(A m)."""
+def _step(m: np.ndarray, idf: np.ndarray):
+    """Partial sums of A'(A m), by chunks of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m.shape[1], m.shape[1]) if gram else m.shape, np.float32)
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
-            row, term, value, n = _matrix(b, idf)
-            z = np.zeros((n, m.shape[1]), np.float32)
-            _add_times(z, row, term, value, m)
-            if gram:
-                total += z.T @ z
-            else:
-                by = np.argsort(term, kind="stable")
-                _add_times(total, term[by], row[by], value[by], z)
-        parts = [total] if gram else np.split(total, TERMS // _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([0] * len(parts), pa.int64()), pa.array([np.ascontiguousarray(p, np.float32).tobytes() for p in parts], pa.binary())], ["chunk", "n", "data"])
+        total = np.zeros(m.shape, np.float32)
+        for b in batches:
+            row, term, value = _matrix(b, idf)
+            for a in range(0, len(b), ROWS):
+                i, j = np.searchsorted(row, (a, a + ROWS))
+                terms, at = np.unique(term[i:j], return_inverse=True)
+                block = np.zeros((ROWS, len(terms)), np.float32)  # without the terms that none of its rows has
+                block[row[i:j] - a, at] = value[i:j]
+                total[terms] += block.T @ (block @ m[terms])
+        parts = np.split(total, TERMS // _CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([0] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "data"])
 
     return run
 
 
 def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right singular vectors (terms x rank) of the TF-IDF matrix of ``rows(weight, terms)``."""
-    width = rank + EXTRA
-    q = np.random.default_rng(seed).standard_normal((TERMS, width))
+    """Singular values and right singular vectors (terms x rank, fewer if A has not so many) of the TF-IDF matrix A of ``rows(weight, terms)``."""
+    q = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA))
     for _ in range(POWERS):
-        y, _ = _gather(in_batches(rows, _step(q.astype(np.float32), idf, False), "chunk int, n long, data binary"), np.float32)
-        q, _ = np.linalg.qr(y.reshape(TERMS, width))
-    g, _ = _gather(in_batches(rows, _step(q.astype(np.float32), idf, True), "chunk int, n long, data binary"), np.float32)
-    values, vectors = np.linalg.eigh(g.reshape(width, width))
-    top = np.argsort(-values)[:rank]
-    return np.sqrt(np.maximum(values[top], 0)), q @ vectors[:, top]
+        q, _ = np.linalg.qr(q)
+        y, _ = _gather(in_batches(rows, _step(q.astype(np.float32), idf), "chunk int, n long, data binary"), np.float32)
+        basis, q = q, y.reshape(q.shape) if len(y) else np.zeros(q.shape)
+    # A'A is y (q'y)^-1 y' on what q spans: its factor's singular values are the squares' roots.
+    g = basis.T @ q
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    sure = values > 1e-5 * max(values[-1], 1e-9)
+    u, s, _ = np.linalg.svd(q @ (vectors[:, sure] / np.sqrt(values[sure])), full_matrices=False)
+    return s[:rank], u[:, :rank]
 
 
 @dataclass(frozen=True)
@@ -423,15 +418,16 @@ def _bench_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latent_space(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The terms' weights, from all documents, and the latent space."""
+    """The terms' weights and the latent space, both from all documents."""
     counted = materialise(in_batches(docs.select(F.col("text").cast("string")), _count, "kind string, chunk int, n long, data binary"), "terms")
     df, n = _gather(counted.where("kind = 'df'").select("chunk", "n", "data"), np.int64)
     df = df if len(df) else np.zeros(TERMS)
     idf = np.log((n + 1.5) / (df + 0.5)).clip(0.01)
-    drawn = counted.where("kind = 'passage'").orderBy("n", "data").limit(SAMPLE).select(F.lit(1.0).alias("weight"), F.col("data").alias("terms"))
-    own = in_batches(benchmark.select(F.col("text").cast("string")), _bench_terms, "weight double, terms binary")
-    rows = materialise(drawn.unionByName(own).repartition(PARTS), "passages")
-    _, space = randomised_svd(rows, idf)
+    every = counted.where("kind = 'row'").select(F.lit(min(1.0, (DOCS_WEIGHT / max(n, 1)) ** 0.5)).alias("weight"), F.col("data").alias("terms"))
+    own = materialise(in_batches(benchmark.select(F.col("text").cast("string")), _bench_terms, "weight double, terms binary"), "passages")
+    _, space = randomised_svd(every.unionByName(own).coalesce(PARTS), idf)
+    for used in (counted, own):
+        drop(used)
     return idf, space
 
 

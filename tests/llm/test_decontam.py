@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sylvan.llm import decontam as d
@@ -158,3 +159,29 @@ def test_a_stretch_that_stands_outweighs_one_of_more_cover():
     ix = d.index([5], [words], np.random.default_rng(1).standard_normal((d.TERMS, 8)), np.ones(d.TERMS))
     got = list(d.matches(ix, text, np.array([len(text)])))
     assert [(m[0], m[1], m[3], m[4]) for m in got] == [(0, 0, 0.7, 1.0)]
+
+
+def test_the_space_is_fitted_on_every_word_of_every_document(world, monkeypatch):
+    df, bench, _, items = world
+    seen = []
+    monkeypatch.setattr(d, "randomised_svd", lambda rows, idf: seen.append(rows.collect()) or (None, None))
+    d.latent_space(df, bench)
+    want = sorted(sorted((token_hash(r.text) % d.TERMS).tolist()) for r in df.collect() if r.text and r.text.split())
+    want += [sorted((p % d.TERMS).tolist()) for w in items for p in d.item_passages(token_hash(" ".join(w)))]
+    entries = [np.frombuffer(r.terms, np.int32) for r in seen[0]]
+    assert sorted(sorted(np.repeat(e % d.TERMS, e // d.TERMS + 1).tolist()) for e in entries) == sorted(want)
+
+
+def test_a_term_of_very_many_occurrences_takes_several_entries(monkeypatch):
+    monkeypatch.setattr(d, "MOST", 4)
+    texts = pa.array(["a a a a a a a a a a b", None, "b b b b"])
+    rows = [np.frombuffer(r["data"], np.int32) for b in d._count(iter([pa.RecordBatch.from_arrays([texts], ["text"])])) for r in b.to_pylist() if r["kind"] == "row"]
+    a, b = (int(token_hash(w)[0] % d.TERMS) for w in "ab")
+    assert [sorted(zip((r % d.TERMS).tolist(), (r // d.TERMS + 1).tolist(), strict=True)) for r in rows] == [sorted([(a, 4), (a, 4), (a, 2), (b, 1)]), [(b, 4)]]
+    row, term, value = d._matrix(pa.RecordBatch.from_arrays([pa.array([1.0]), pa.array([rows[0].tobytes()])], ["weight", "terms"]), np.ones(d.TERMS))
+    assert row.tolist() == [0, 0] and dict(zip(term.tolist(), value.tolist(), strict=True)) == pytest.approx({a: 10 / 101**0.5, b: 1 / 101**0.5})
+
+
+def test_both_tables_empty(world):
+    df, bench, *_ = world
+    assert d.contaminated(df.limit(0), bench.limit(0)).collect() == []
