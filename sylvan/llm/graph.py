@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import collect_garbage, drop, materialise
+from .storage import collect_garbage, drop, in_batches, materialise
+
+#: Edges that one task connects by itself at most; more go through the steps.
+SMALL = 100_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -21,14 +27,34 @@ def _small_star(e: DataFrame) -> DataFrame:
     return own.unionByName(rest).distinct()
 
 
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all edges, held in memory; a root is its tree's smallest node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(u), find(v)
+            root[max(a, c)] = min(a, c)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["node", "comp"])
+
+
 def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges(u, v)``; comp is the component's smallest node.
 
     Each step's edges go to the shared folder; only two totals come to the
     driver.  The number of steps is logarithmic in the longest chain.  Loops
-    (u = v) are ignored; no edges give no rows.
+    (u = v) are ignored; no edges give no rows.  Up to ``SMALL`` edges need no
+    steps, whose many plans cost the driver more memory than such edges do.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.count() <= SMALL:
+        return in_batches(e.coalesce(1), _connect, "node long, comp long")
     mark = None
     for _ in range(max_steps):
         new = materialise(_small_star(_large_star(e)), "edges")

@@ -140,3 +140,20 @@ def test_one_of_each(spark):
     want = [(2, "A b c d e f"), (2, "other words in this one here"), (None, "null id of its own text"), (7, None), (8, ""), (7, None), (9, "z")]
     assert got == sorted(want, key=str)
     assert one_of_each(df).columns == df.columns and one_of_each(df.limit(0)).collect() == []
+
+
+def test_few_edges_are_connected_without_steps(spark, monkeypatch):
+    from sylvan.llm import graph
+
+    r = random.Random(12)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(7000, 7000)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for u, v in edges:
+            if u != v:
+                want[u] = want[v] = min(want[u], want[v])
+    assert {x.node: x.comp for x in graph.components(df, max_steps=0).collect()} == want
+    assert graph.components(df.limit(0), max_steps=0).collect() == []
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert {x.node: x.comp for x in graph.components(df).collect()} == want
